@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_groups
+from .simhash import near_groups
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,3 +23,9 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents
 WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the smallest doc_id that near-duplicate links reach."""
+    groups = near_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("group").alias("component_id"))

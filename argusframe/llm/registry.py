@@ -6,7 +6,7 @@ from . import queries_dedup as dedup
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": dedup.op1_exact_dedup}
+    return {"op1_exact_dedup": dedup.op1_exact_dedup, "op2_simhash_dedup": dedup.op2_simhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
