@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from . import queries_corpus as corpus
 from . import queries_dedup as dedup
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": dedup.op1_exact_dedup, "op2_simhash_dedup": dedup.op2_simhash_dedup}
+    return {
+        "op1_exact_dedup": dedup.op1_exact_dedup,
+        "op2_simhash_dedup": dedup.op2_simhash_dedup,
+        "op6_mixing": corpus.op6_mixing,
+        "op8_quality": corpus.op8_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": dedup.OP1_SQL}
+    return {"op1_exact_dedup": dedup.OP1_SQL, "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL}
