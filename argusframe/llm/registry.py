@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import queries_corpus as corpus
 from . import queries_dedup as dedup
 from . import queries_scan as scan
+from . import queries_tokens as tokens
 
 
 def queries() -> dict:
@@ -12,6 +13,7 @@ def queries() -> dict:
         "op1_exact_dedup": dedup.op1_exact_dedup,
         "op2_simhash_dedup": dedup.op2_simhash_dedup,
         "op3_language_id": scan.op3_language_id,
+        "op5_sentencepiece": tokens.op5_sentencepiece,
         "op6_mixing": corpus.op6_mixing,
         "op8_quality": corpus.op8_quality,
         "op10_secrets": scan.op10_secrets,
