@@ -25,8 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved, text_of
 
@@ -35,6 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK, BLOCK = 1 << 16, 1 << 15, 64
 #: Distinct strings between cuts whose encoding a task remembers.
 REMEMBERED = 600_000
+#: Bytes of text, about, that a task encodes at once.
+AT_ONCE = 1 << 21
 #: Score units of a factor of two in a piece's rank.
 UNITS = 256
 LOW = -math.inf
@@ -68,6 +72,9 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         #: Scores of pieces and, as LOW, of beginnings of pieces that are none: where there is no entry, no piece goes on.
         self.reach = {p[:i]: LOW for p in self.ids for i in range(1, len(p))} | self.scores
+        #: The same from the other end.
+        self.ends = {p[i:]: LOW for p in self.ids for i in range(1, len(p))} | self.scores
+        self.packs: dict[str, bytes] = {}
         long = [p for p in self.ids if len(p) > 1]
         self.joined = frozenset(c for p in long for c in p if c != " ")
         self.space_cuts = not any(" " in p.lstrip(" ") for p in long)
@@ -118,16 +125,44 @@ class Vocabulary:
         best, start = self.forward(text, [0], len(text))
         return self.trace(text, start, len(text))[1]
 
-    def encode(self, text: str, known: dict[str, list[int]]) -> np.ndarray:
-        out: list[int] = []
-        for part in self.between.findall(" " + text) if text else ():
-            ids = known.get(part)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[part] = self.segment(part)
-            out += ids
-        return np.array(out, np.int32)
+    def learn(self, words: set[str], known: dict[str, bytes]) -> None:
+        """Adds the ids of words, as bytes of int32, to known. In sorted order, words share the work on their beginnings."""
+        ends, scores, unknown = self.ends, self.scores, self.unknown
+        best, made, before = [0], [b""], ""
+        for word in sorted(words):
+            same, most = 0, min(len(word), len(before))
+            while same < most and word[same] == before[same]:
+                same += 1
+            del best[same + 1 :], made[same + 1 :]
+            for j in range(same + 1, len(word) + 1):
+                at = i = j - 1
+                top = best[i] + scores.get(word[i:j], unknown)
+                while i:
+                    i -= 1
+                    score = ends.get(word[i:j])
+                    if score is None:
+                        break
+                    score += best[i]
+                    if score >= top:
+                        top, at = score, i
+                best.append(top)
+                made.append(made[at] + self.packed(word[at:j]))
+            known[word] = made[-1]
+            before = word
+
+    def packed(self, piece: str) -> bytes:
+        found = self.packs.get(piece)
+        if found is None:
+            found = self.packs[piece] = np.array(self.ids_of(piece), np.int32).tobytes()
+        return found
+
+    def encode(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """The ids of each text, as bytes of int32."""
+        if len(known) > REMEMBERED:
+            known.clear()
+        parts = [self.between.findall(" " + x) if x else [] for x in texts]
+        self.learn(set().union(*parts) - known.keys(), known)
+        return [b"".join([known[w] for w in x]) for x in parts]
 
     def decode(self, ids) -> str:
         by_id = self.by_id
@@ -263,11 +298,21 @@ def _giants(rows: DataFrame, model: str, chunk: int, block: int) -> DataFrame:
 
 
 def _encoder(model: str):
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """mapInArrow function: row as it is, ids of body, and whether they decode to it."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known = Vocabulary(model), {}
-        for texts in batches:
-            yield pd.Series([vocabulary.encode(x, known) for x in texts], dtype=object)
+        for batch in batches:
+            lengths = np.cumsum(pc.binary_length(batch["body"]).to_numpy(zero_copy_only=False))
+            ends = np.flatnonzero(np.diff(lengths // AT_ONCE, append=-1)) + 1
+            for at, end in zip([0, *ends[:-1]], ends, strict=True):
+                texts = batch["body"].slice(at, end - at).to_pylist()
+                packs = vocabulary.encode(texts, known)
+                arrays = [np.frombuffer(x, np.int32) for x in packs]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packs), np.int32))
+                same = [vocabulary.decode(x.tolist()) == t for x, t in zip(arrays, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["row"].slice(at, end - at), ids, pa.array(same)], ["row", "ids", "round_trip"])
 
     return encode
 
@@ -284,16 +329,18 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
     return decode(ids)
 
 
-def encoded(docs: DataFrame, text_column: str = "text", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
-    """Each row of docs as struct `row`, with its token ids. Null and empty texts have none.
+def encoded(docs: DataFrame, text_column: str = "text", keep: list[str] | None = None, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """Each row of docs, or its columns in keep, as struct `row`, with its token ids and round_trip: they decode to the text.
 
-    Texts of over `giant` characters are split and scanned in parallel. chunk must be over the longest piece.
+    Null and empty texts have no ids. Texts of over `giant` characters are split and scanned in parallel. chunk must be
+    over the longest piece.
     """
-    body = text_of(F.col("row").getField(text_column))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    small = rows.where(F.length(body) <= giant).select("row", _encoder(model)(body).alias("ids"))
-    large = saved(rows.where(F.length(body) > giant).withColumn("uid", F.monotonically_increasing_id()), "pieces_giants")
+    row, body = F.struct(*(keep or docs.columns)).alias("row"), text_of(text_column)
+    rows = docs.select(row, body.alias("body"))
+    schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    small = rows.where(F.length("body") <= giant).mapInArrow(_encoder(model), schema)
+    large = saved(rows.where(F.length("body") > giant).withColumn("uid", F.monotonically_increasing_id()), "pieces_giants")
     if large.isEmpty():
         return small
-    ids = _giants(large.select("uid", body.alias("body")), model, chunk, block)
-    return small.unionByName(large.join(ids, "uid").select("row", "ids"))
+    ids = _giants(large.select("uid", "body"), model, chunk, block)
+    return small.unionByName(large.join(ids, "uid").select("row", "ids", (decoded(F.col("ids"), model) == F.col("body")).alias("round_trip")))
