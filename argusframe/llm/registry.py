@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import queries_corpus as corpus
 from . import queries_dedup as dedup
+from . import queries_privacy as privacy
 from . import queries_scan as scan
 from . import queries_tokens as tokens
 
@@ -13,12 +14,14 @@ def queries() -> dict:
         "op1_exact_dedup": dedup.op1_exact_dedup,
         "op2_simhash_dedup": dedup.op2_simhash_dedup,
         "op3_language_id": scan.op3_language_id,
+        "op4_licences": privacy.op4_licences,
         "op5_sentencepiece": tokens.op5_sentencepiece,
         "op6_mixing": corpus.op6_mixing,
+        "op7_surrogates": privacy.op7_surrogates,
         "op8_quality": corpus.op8_quality,
         "op10_secrets": scan.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": dedup.OP1_SQL, "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL}
+    return {"op1_exact_dedup": dedup.OP1_SQL, "op4_licences": privacy.OP4_SQL, "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL}
