@@ -29,7 +29,7 @@ MOST_DRAWS = 50
 _EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A)
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", re.A)
-_CARD = re.compile(r"(?<![\w.+-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])", re.A)
+_CARD = re.compile(r"(?<![\w.+-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 _NAME_WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+|[Α-ΩΆ-Ώ][α-ωά-ώ]+)(?:-(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+))?"
@@ -65,7 +65,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     if any(c.isdigit() for c in text):
         found += [(m.start(), m.end(), "iban", re.sub(" ", "", m[0])) for m in _IBAN.finditer(text) if sum(c.isdigit() for c in m[0]) >= 10]
-        found += [(m.start(), m.end(), "card", d) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19]
+        found += [(m.start(), m.end(), "card", d) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d)]
         found += [(m.start(), m.end(), "ssn", m[0]) for m in _SSN.finditer(text)]
         found += [(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text)]
         found += [(m.start(), m.end(), "phone", d) for m in _PHONE.finditer(text) if len(d := _digits(m[0])) >= 8]
