@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from . import queries_corpus as corpus
 from . import queries_dedup as dedup
+from . import queries_pages as pages
 from . import queries_privacy as privacy
 from . import queries_scan as scan
 from . import queries_tokens as tokens
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_exact_dedup": dedup.op1_exact_dedup,
         "op2_simhash_dedup": dedup.op2_simhash_dedup,
         "op3_language_id": scan.op3_language_id,
@@ -19,6 +27,7 @@ def queries() -> dict:
         "op6_mixing": corpus.op6_mixing,
         "op7_surrogates": privacy.op7_surrogates,
         "op8_quality": corpus.op8_quality,
+        "op9_html": pages.op9_html,
         "op10_secrets": scan.op10_secrets,
     }
 
