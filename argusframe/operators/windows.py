@@ -17,7 +17,7 @@ def prior(by: list[str], order: list[str], rows: int = 1000):
 
 def rolling_count(by: list[str], seconds: int, at: str = "timestamp") -> Column:
     """Rows of the same key in the last `seconds`, this one included."""
-    w = Window.partitionBy(*by).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(-float(seconds), 0.0)
+    w = Window.partitionBy(*by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-int(seconds * 1_000_000), Window.currentRow)
     return F.count("*").over(w)
 
 

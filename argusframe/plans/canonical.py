@@ -12,7 +12,7 @@ SELECT event_id, ts AS timestamp,
        ELSE concat('45.227.', CAST(user_id % 3 AS STRING), '.', CAST(1 + user_id % 200 AS STRING)) END AS source_ip,
   CASE WHEN event_id % 3 = 0 THEN '8.8.8.8' WHEN event_id % 3 = 1 THEN concat('192.168.1.', CAST(1 + event_id % 50 AS STRING)) END AS dest_ip,
   1024 + event_id % 40000 AS source_port,
-  CASE event_id % 8 WHEN 0 THEN 22 WHEN 1 THEN 443 WHEN 2 THEN 3389 WHEN 3 THEN 53 WHEN 4 THEN 80 WHEN 5 THEN 9999 WHEN 6 THEN 445 END AS dest_port,
+  CASE event_id % 8 WHEN 0 THEN 22 WHEN 1 THEN 443 WHEN 2 THEN 53 WHEN 3 THEN 3389 WHEN 4 THEN 80 WHEN 5 THEN 9999 WHEN 6 THEN 445 END AS dest_port,
   CASE WHEN user_id % 40 = 0 THEN 'root' WHEN user_id % 41 = 0 THEN 'svc_backup' ELSE concat('user', CAST(user_id AS STRING)) END AS source_user,
   CASE event_type WHEN 'error' THEN 'logon_failed' WHEN 'signup' THEN 'user_created' WHEN 'purchase' THEN 'write' WHEN 'click' THEN 'connect' ELSE 'read' END AS action,
   CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type IN ('signup', 'purchase') THEN 'success' END AS result,
