@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,36 @@ def saved_bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame
     return spark.table(table)
 
 
+def placed(rows: DataFrame, name: str, rows_at_once: int = 500_000) -> DataFrame:
+    """rows written bucketed by bucket, a group of their partitions, with uid, and part and pos that it consists of."""
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    buckets = max(2 * parallel, math.ceil(rows.count() / rows_at_once))
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    rows = rows.withColumn("part", F.shiftright("uid", 33).cast("int")).withColumn("pos", F.col("uid").bitwiseAND((1 << 33) - 1))
+    return saved_bucketed(rows.withColumn("bucket", F.pmod("part", F.lit(buckets)).cast("int")), name, buckets, "bucket")
+
+
+def _bits(rows: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's uids as one row: its partitions, and where in words each one's bits begin and how many they are."""
+    part, pos = rows.part.to_numpy(np.int64), rows.pos.to_numpy(np.int64)
+    parts = np.unique(part)
+    sizes = np.zeros(len(parts), np.int64)
+    np.maximum.at(sizes, np.searchsorted(parts, part), pos + 1)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flags = np.zeros(-(-int(sizes.sum()) // 64) * 64, np.uint8)
+    flags[starts[np.searchsorted(parts, part)] + pos] = 1
+    return pd.DataFrame({"bucket": [rows.bucket.iloc[0]], "parts": [parts], "starts": [starts], "sizes": [sizes], "words": [np.packbits(flags, bitorder="little").view(np.int64)]})
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows of placed() but those dropped (bucket, part, pos). One bit a row goes to each bucket; the rows themselves stay where they are."""
+    bits = dropped.select("bucket", "part", "pos").groupBy("bucket").applyInPandas(_bits, "bucket int, parts array<long>, starts array<long>, sizes array<long>, words array<long>")
+    at = "cast(array_position(parts, cast(part AS bigint)) AS int) - 1"
+    bit = f"(get(starts, {at}) + pos)"
+    gone = F.expr(f"coalesce(pos < get(sizes, {at}) AND shiftright(get(words, cast({bit} div 64 AS int)), cast({bit} % 64 AS int)) & 1L = 1L, false)")
+    return rows.join(saved(bits, "bits"), "bucket", "left").where(~gone).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, saved_bucketed, text_of
+from .common import placed, saved, text_of
 from .golomb import rice_decode, rice_encode
 
 #: Rows of a bucket, and fingerprints of an owner, that a Python worker holds at once (24 bytes each).
@@ -89,20 +89,11 @@ def _marker(bits: int, owners: int):
 
 def _marked(docs: DataFrame, text: Column, bits: int | None) -> DataFrame:
     """docs as struct row, with fp, sha, uid and suspect."""
-    spark = docs.sparkSession
-    n = docs.count()
-    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_AT_ONCE))
-    owners = max(spark.sparkContext.defaultParallelism, math.ceil(n / ROWS_AT_ONCE))
-    bits = bits or min(63, 16 + max(1, n).bit_length())
     body = text_of(text)
-    uid = F.monotonically_increasing_id()
-    rows = saved_bucketed(
-        docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(body).alias("fp"), F.sha2(body, 256).alias("sha"), uid.alias("uid"))
-        .withColumn("part", F.shiftright("uid", 33).cast("int"))
-        .withColumn("pos", F.col("uid").bitwiseAND((1 << 33) - 1))
-        .withColumn("bucket", F.pmod("part", F.lit(buckets)).cast("int")),
-        "exact_dedup", buckets, "bucket",
-    )
+    rows = placed(docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(body).alias("fp"), F.sha2(body, 256).alias("sha")), "exact_dedup", ROWS_AT_ONCE)
+    n = rows.count()
+    owners = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS_AT_ONCE))
+    bits = bits or min(63, 16 + max(1, n).bit_length())
     sent = rows.select("bucket", "fp").groupBy("bucket").applyInPandas(_encoder(bits, owners), "bucket int, owner long, blob binary")
     answers = sent.groupBy("owner").applyInPandas(_answer, "bucket int, owner long, bitmap binary")
     marks = (

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import placed, saved, text_of, without
 from .components import components
 
 #: Shingles that are counted at once, which bounds memory on very long texts.
@@ -116,9 +116,11 @@ def _grouped(rows: DataFrame, hot_key: int) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one row of each group: that with the smallest id (of ties, and of rows without ids, any one of equal rows)."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), fingerprint(F.col(text_column)).alias("fp"), F.monotonically_increasing_id().alias("uid"))
-    packed = saved(packed.withColumn("id", F.col("row").getField(id_column)), "simhash_packed")
-    grouped = _grouped(packed.select("id", "fp", "uid"), HOT_KEY)
+    body = F.col("row").getField(text_column)
+    packed = placed(docs.select(F.struct(*docs.columns).alias("row")).withColumn("fp", fingerprint(body)), "simhash_packed")
+    rows = packed.select(F.col("row").getField(id_column).alias("id"), "fp", "uid", "bucket", "part", "pos")
+    grouped = saved(_grouped(rows, HOT_KEY), "simhash_grouped")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
-    stays = grouped.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.uid").alias("uid"))
-    return packed.join(stays, "uid", "left_semi").select("row.*")
+    first = grouped.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = grouped.join(first, "root").where(F.col("uid") != F.col("first.uid"))
+    return without(packed, dropped).select("row.*")
