@@ -36,9 +36,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a text is split, of a chunk, and chunks of a block.
 GIANT, CHUNK, BLOCK = 1 << 16, 1 << 15, 64
 #: Distinct strings between cuts whose encoding a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Bytes of text, about, that a task encodes at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: Score units of a factor of two in a piece's rank.
 UNITS = 256
 LOW = -math.inf
