@@ -110,3 +110,16 @@ def event_hash(fields: list[str]) -> Column:
 def as_cef(df: DataFrame) -> Column:
     text = lambda c, d="": F.coalesce(F.col(c).cast("string"), F.lit(d)) if c in df.columns else F.lit(d)
     return F.concat(F.lit("CEF:0|"), text("vendor", "unknown"), F.lit("|"), text("product"), F.lit("|1.0|"), text("event_type"), F.lit("|"), text("action"), F.lit("|5|src="), text("source_ip"), F.lit(" dst="), text("dest_ip"))
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under new names; where several become one, it is the list of their values that are not null."""
+    to: dict[str, list[str]] = {}
+    for c in df.columns:
+        to.setdefault(names.get(c, c), []).append(c)
+    return df.select(*((F.col(cs[0]) if len(cs) == 1 else F.array_compact(F.array(*(F.col(c).cast("string") for c in cs)))).alias(n) for n, cs in to.items()))
+
+
+def promoted(df: DataFrame, keys: list[str], extra: str = "extra") -> DataFrame:
+    """df with entries of its map of further fields as columns; columns that it has already stay."""
+    return df.withColumns({k: F.col(extra)[k] for k in keys if k not in df.columns})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column
@@ -31,6 +32,33 @@ def duration_column(text: Column) -> Column:
     return F.when(text.rlike(r"^\d+$"), text.try_cast("double")).otherwise(sum((part(u) for u in ("w", "d", "h", "m", "s")), F.lit(0.0)))
 
 
+def relative_time(text: str, now: dt.datetime) -> dt.datetime:
+    """now, -5m or 5 minutes ago, as a literal for queries."""
+    if text.strip() == "now":
+        return now
+    if m := re.fullmatch(r"(\d+)\s+(second|minute|hour|day|week)s?\s+ago", text.strip()):
+        return now - dt.timedelta(seconds=int(m[1]) * _SECONDS[m[2][0]])
+    return now + dt.timedelta(seconds=(-1 if text.startswith("-") else 1) * duration_seconds(text.lstrip("+-")))
+
+
+def time_range(spec: str | tuple[str, str], now: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
+    """A duration up to now, or the two ends."""
+    if isinstance(spec, str):
+        return now - dt.timedelta(seconds=duration_seconds(spec.lstrip("-"))), now
+    return relative_time(spec[0], now), relative_time(spec[1], now)
+
+
+def duration_text(seconds: Column, parts: int = 2) -> Column:
+    """Whole seconds in words, by the largest units that are not zero; unknown if null or negative."""
+    left, words = F.floor(seconds), []
+    for name, size in (("week", 604800), ("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1)):
+        n = F.floor(left / size)
+        words.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))))
+        left = left % size
+    text = F.array_join(F.slice(F.array_compact(F.array(*words)), 1, parts), ", ")
+    return F.when(seconds.isNull() | (seconds < 0), "unknown").when(F.floor(seconds) == 0, "0 seconds").otherwise(text)
+
+
 def parse_time(text: Column) -> Column:
     """ISO, other listed formats, or an epoch in seconds or (over 1e12) milliseconds; null if none fits."""
     number = text.try_cast("double")

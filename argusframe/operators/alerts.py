@@ -39,3 +39,13 @@ def advice(event_type: Column) -> Column:
 def exported(iocs: DataFrame) -> DataFrame:
     """Indicators as JSON lines."""
     return iocs.select(F.to_json(F.struct(*iocs.columns)).alias("value"))
+
+
+def newest_first(alerts: DataFrame, most: int = 1_000, ties: str = "event_id") -> DataFrame:
+    """A page of the newest alerts; most is the largest page."""
+    return alerts.orderBy(F.desc("timestamp"), F.desc(ties)).limit(most)
+
+
+def searched_indicators(iocs: DataFrame, text: str) -> DataFrame:
+    """Indicators that have the text in their value, source or tags."""
+    return iocs.where(F.lower(F.concat_ws(" ", "value", "source", "tags")).contains(text.lower()))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .predicates import ip_number
+from .windows import rolling_count
 
 # The built-in indicators.
 TOR = ("171.25.193.78", "185.220.101.1", "185.220.101.47", "193.218.118.200", "199.249.230.107")
@@ -81,6 +82,23 @@ def _tagged(kind: str, name: str, values: Column) -> Column:
     return F.coalesce(F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(name).alias("field"))), F.array().cast("array<struct<type:string,value:string,field:string>>"))
 
 
+def match_patterns(events: DataFrame, patterns: list[tuple[str, str, str]], key: str = "event_id") -> DataFrame:
+    """One row for each event and pattern (kind regex or url, value, field) that it meets. Patterns are compiled into the one pass over the events."""
+    hit = lambda kind, value, name: F.col(name).rlike(value) if kind == "regex" else F.col(name).contains(value)
+    found = F.array_compact(F.array(*(F.when(hit(*p), F.struct(*(F.lit(x).alias(n) for x, n in zip(p, ("type", "value", "field"), strict=True)))) for p in patterns)))
+    return events.select(key, F.inline(found))
+
+
+def evidence(alerts: DataFrame, events: DataFrame, seconds: int, by: str = "source_ip", key: str = "event_id") -> DataFrame:
+    """Each alert (by, timestamp, event id as alert) with the number of events of its group in the window that ends with it.
+
+    A running window over both, so no alert is paired with each of its events.
+    """
+    both = events.select(by, "timestamp", F.col(key).alias("_key"), F.lit(None).cast("long").alias("alert")).unionByName(alerts.select(by, "timestamp", F.lit(None).cast("long").alias("_key"), F.col(key).cast("long").alias("alert")))
+    marks = both.withColumn("_all", rolling_count([by], seconds)).withColumn("_alerts", F.sum(F.col("alert").isNotNull().cast("long")).over(Window.partitionBy(by).orderBy(F.unix_micros(F.col("timestamp").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)))
+    return marks.where("alert IS NOT NULL").select(by, "alert", (F.col("_all") - F.col("_alerts")).alias("n"))
+
+
 def enrich_indicators(events: DataFrame, matches: DataFrame, key: str = "event_id") -> DataFrame:
     """events with ioc_matched (first five values), threat_tags, ioc_severity, reputation_score and risk_boost."""
     rank = mapped(SEVERITY_RANK, F.col("severity"))

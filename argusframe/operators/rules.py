@@ -12,6 +12,7 @@ from .predicates import OPERATORS, predicate
 
 TYPES = ("detection", "threat_intel", "correlation")
 SEVERITIES = ("low", "medium", "high", "critical")
+ACTIONS = ("alert", "log", "drop", "tag", "enrich", "webhook", "email", "script", "block", "isolate")
 RISK_OF_SEVERITY = {"low": 25.0, "medium": 50.0, "high": 75.0, "critical": 95.0}
 
 
@@ -46,12 +47,14 @@ class Rule:
     threshold: int = 0
     group_by: tuple[str, ...] = ()
     confidence: float = 0.8
+    actions: tuple[str, ...] = ("alert",)
 
     def errors(self) -> list[str]:
         """What is wrong with the rule, empty if nothing is."""
         found = [] if self.rule_id else ["rule_id is missing"]
         found += [f"unknown type {self.rule_type!r}"] * (self.rule_type not in TYPES) + [f"unknown severity {self.severity!r}"] * (self.severity not in SEVERITIES)
         found += ["no conditions"] * (not self.conditions) + [f"unknown operator {o!r}" for g in self.conditions for _, o, _ in g if o not in OPERATORS]
+        found += [f"unknown action {a!r}" for a in self.actions if a not in ACTIONS]
         return found + ["correlation needs window and threshold"] * (self.rule_type == "correlation" and not (self.window > 0 and self.threshold > 0))
 
     def matches(self, columns: set[str], at: str = "timestamp") -> Column:
@@ -79,7 +82,7 @@ def parse_rule(data: dict) -> Rule:
     rule = Rule(
         data.get("rule_id", ""), data.get("severity", "medium"), conditions, data.get("rule_type", "detection"), data.get("logic", "or"), data.get("enabled", True),
         data.get("filters") or {}, None, data.get("case_sensitive", True), tuple(data.get("mitre_attack") or ()), (data.get("metadata") or {}).get("suppress_duration", 0),
-        data.get("window", 0), data.get("threshold", 0), tuple(data.get("group_by") or ()), data.get("confidence", 0.8),
+        data.get("window", 0), data.get("threshold", 0), tuple(data.get("group_by") or ()), data.get("confidence", 0.8), tuple(data.get("actions") or ("alert",)),
     )
     if errors := rule.errors():
         raise ValueError(f"{rule.rule_id}: {'; '.join(errors)}")

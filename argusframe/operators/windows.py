@@ -56,3 +56,9 @@ def rare_pairs(df: DataFrame, by: str, pair: list[str], order: list[str], total:
 def last_of(df: DataFrame, by: list[str], order: list[str], n: int = 5) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*[F.desc(o) for o in order])
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def ewma_deviation(df: DataFrame, value: str, by: str, order: list[str], alpha: float = 0.3) -> DataFrame:
+    """by and how many deviations of all its values the last one is from the weighted mean after it; null where they don't vary."""
+    last = df.groupBy(by).agg(F.max_by(value, F.struct(*order)).alias("_last"), F.stddev_samp(value).alias("_dev"))
+    return ewma(df, value, by, order, alpha).join(last, by).select(by, F.when(F.col("_dev") > 0, F.abs(F.col("_last") - F.col("ewma")) / F.col("_dev")).alias("deviation"))
