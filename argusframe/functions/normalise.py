@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lookups import mapped, port_service
 from ..operators.predicates import ip_number
-from .scalars import is_internal, parse_time
+from .scalars import internal_number, parse_time
 
 # Names of severities, actions and results, and the canonical one of each.
 SEVERITY = {
@@ -87,8 +87,11 @@ def normalised(df: DataFrame, now: Column | None = None) -> DataFrame:
     have = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")
     now = now if now is not None else F.current_timestamp()
     at = parse_time(have("timestamp"))
-    ip = {s: F.when(ip_number(F.trim(have(f"{s}_ip"))).isNotNull(), F.trim(have(f"{s}_ip"))) for s in ("source", "dest")}
-    inside = {s: F.when(ip[s].isNotNull(), is_internal(ip[s])) for s in ip}
+    # numbers are columns of their own, so that they are computed once a row
+    df = df.withColumns({f"_{s}_number": ip_number(F.trim(have(f"{s}_ip"))) for s in ("source", "dest")})
+    number = {s: F.col(f"_{s}_number") for s in ("source", "dest")}
+    ip = {s: F.when(number[s].isNotNull(), F.trim(have(f"{s}_ip"))) for s in number}
+    inside = {s: F.when(number[s].isNotNull(), internal_number(number[s])) for s in number}
     host = {s: F.coalesce(have(f"{s}_host"), F.when(ip[s].isNull(), F.trim(have(f"{s}_ip")))) for s in ip}
     ports = {s: port(have(f"{s}_port")) for s in ip}
     act = action(have("action"))

@@ -70,14 +70,18 @@ def floor_to(at: Column, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_timestamp(at.cast("timestamp")) / seconds) * seconds)
 
 
-def is_internal(ip: Column) -> Column:
-    n = ip_number(ip)
+def internal_number(n: Column) -> Column:
+    """Whether an address, as a number, is internal."""
     out = F.lit(False)
     for block in INTERNAL:
         out = out | n.between(*cidr_range(block))
     return F.coalesce(out, F.lit(False))
 
 
+def is_internal(ip: Column) -> Column:
+    return internal_number(ip_number(ip))
+
+
 def ip_class(ip: Column) -> Column:
     n = ip_number(ip)
     within = lambda b: n.between(*cidr_range(b))

@@ -19,10 +19,9 @@ def _sure(c: Column) -> Column:
 
 def ip_number(ip: Column) -> Column:
     """An IPv4 address as a number; null if it is none."""
-    parts = F.split(ip, r"\.")
-    octets = [F.try_element_at(parts, F.lit(i)).try_cast("int") for i in range(1, 5)]
-    valid = (F.size(parts) == 4) & reduce(lambda a, b: a & b, [o.between(0, 255) for o in octets])
-    return F.when(valid, octets[0].cast("long") * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3])
+    octets = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("int"))
+    valid = (F.size(octets) == 4) & F.forall(octets, lambda x: x.between(0, 255))
+    return F.when(valid, F.aggregate(octets, F.lit(0).cast("long"), lambda n, x: n * 256 + x))
 
 
 def cidr_range(cidr: str) -> tuple[int, int]:
