@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,20 @@ KNOWN: list[tuple[str, str]] = [
     ("CC0-1.0", "Released under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
 ]
+#: Published texts in licence_texts, and titles above the short ones.
+TEXTS = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0",
+    "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"],
+}
+#: Where some copies of a published text begin or end.
+_FIRST, _LAST = "CC0 1.0 Universal", "END OF TERMS AND CONDITIONS"
 #: Spellings of one word, as patterns of whole lower-case words, and the one that stands for them.
 SPELLINGS: list[tuple[str, str]] = [
     (r"\b(sub)?licenc(e[sd]?|ing)\b", r"{1}licens{2}"),
@@ -85,6 +101,18 @@ SPELLINGS: list[tuple[str, str]] = [
 #: A line that only says whose copyright it is and of when.
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;!-]*(?:copyright\b|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9<\[]|by\b)[^\n]*$"
 
+#: A line after one of those that only reserves all rights.
+RESERVED_LINE = COPYRIGHT_LINE.replace("(?m)^", "(?m)^(", 1).removesuffix("$") + r"\n)[ \t*#/;!-]*all rights reserved\.?[ \t\r]*$"
+
+
+def bodies() -> list[tuple[str, str]]:
+    """Licences with their entire texts: the published ones, and the short ones under each title."""
+    folder = Path(__file__).parent / "licence_texts"
+    texts = [(licence, (folder / name).read_text("utf-8", "replace")) for name, licence in TEXTS.items()]
+    short = [(n, t) for n, t in [*KNOWN, *texts] if n in TITLES and len(t) > 500 and not t.startswith(tuple(TITLES[n]))]
+    cut = [(n, t[: t.index(_LAST)] + _LAST) for n, t in texts if _LAST in t] + [(n, t[t.index(_FIRST) :]) for n, t in texts if _FIRST in t]
+    return texts + cut + [(n, f"{title}\n{t}") for n, t in short for title in TITLES[n]]
+
 
 def _steps() -> list[tuple[str, str]]:
     """Patterns and replacements, in order, on the lower-case text; each line keeps its place."""
@@ -123,13 +151,21 @@ def licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     A null text counts as empty; the empty text is no licence. A line is a notice if its canonical form is that of a known text.
     """
-    table = saved(known_digests(docs.sparkSession, known), "licences_known")
+    spark = docs.sparkSession
+    table = saved(known_digests(spark, known), "licences_known")
     lengths = [r.length for r in table.select("length").distinct().collect()]
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).alias("id"), canonical(text_of(text_column)).alias("lines"))
+    body = text_of(text_column)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_column).alias("id"), body.alias("body"), canonical(body).alias("lines"))
     alike = F.filter(F.split("lines", "\n"), lambda x: F.length(x).isin(lengths))
     digests = F.transform(F.array_distinct(alike), lambda x: F.sha2(x, 256))
-    rows = saved(rows.select("uid", "id", F.sha2(entire(F.col("lines")), 256).alias("digest"), digests.alias("notices")), "licences_rows")
+    unreserved = canonical(F.regexp_replace(F.lower("body"), RESERVED_LINE, "$1"))
+    other = F.when(F.contains("lines", F.lit("all rights reserved")), F.sha2(entire(unreserved), 256))
+    rows = saved(rows.select("uid", "id", F.sha2(entire(F.col("lines")), 256).alias("digest"), other.alias("other"), digests.alias("notices")), "licences_rows")
     known_small = F.broadcast(table.groupBy("digest").agg(F.min("licence").alias("licence")))
     met = rows.where(F.size("notices") > 0).select("uid", F.explode("notices").alias("digest")).join(known_small, "digest")
     notices = met.groupBy("uid").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
-    return rows.drop("notices").join(known_small, "digest", "left").join(notices, "uid", "left").select("id", "digest", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
+    every = table if known else saved(table.unionByName(known_digests(spark, bodies())), "licences_bodies")
+    whole = F.broadcast(every.groupBy("digest").agg(F.min("licence").alias("licence")))
+    also = F.broadcast(every.groupBy(F.col("digest").alias("other")).agg(F.min("licence").alias("licence_other")))
+    found = rows.drop("notices").join(whole, "digest", "left").join(also, "other", "left").join(notices, "uid", "left")
+    return found.select("id", "digest", F.coalesce("licence", "licence_other").alias("licence"), F.coalesce("notices", F.lit("")).alias("notices"))
