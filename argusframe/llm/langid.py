@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import saved, text_of
 
 WINDOW, EMBEDDING, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
 SPAN = max(WIDTHS)
-#: Documents of each language, about, and excerpts of each document, that the network is fitted on; languages at most.
-TRAIN_DOCS, EXCERPTS, MOST_LANGUAGES = 1_000, 3, 200
+#: Documents of each language, about, and of all languages together, and excerpts of each document, that the network is
+#: fitted on. Where languages are many, each has fewer documents, but one at least: none is left out.
+TRAIN_DOCS, TRAIN_ALL, EXCERPTS = 1_000, 40_000, 3
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.004, 11
 UNKNOWN = "und"
 
@@ -142,17 +143,20 @@ def has_letter(text: Column) -> Column:
     return text_of(text).rlike(r"\p{L}")
 
 
-def excerpts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_each: int = TRAIN_DOCS) -> DataFrame:
+def excerpts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", docs_each: int = TRAIN_DOCS, docs_all: int = TRAIN_ALL) -> DataFrame:
     """lang and text of the excerpts that the network is fitted on: about docs_each documents of each language.
 
-    Documents are drawn by a hash of their ids; only those of the folds 1 to 4 with a label and a letter count.
+    Only documents of the folds 1 to 4 with a label and a letter count. They are drawn by a hash of id and text, so that
+    many rows under one id are told apart and repeats count once. Of each language the document with the least hash is
+    drawn as well, which leaves no language without one.
     """
     known = docs.where((fold(id_column) != 0) & F.col(lang_column).isNotNull() & has_letter(F.col(text_column)))
-    counts = docs.where((fold(id_column) != 0) & F.col(lang_column).isNotNull()).groupBy(lang_column).count()
-    counts = counts.orderBy(F.desc("count"), lang_column).limit(MOST_LANGUAGES).withColumnRenamed(lang_column, "lang")
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(id_column).cast("string")), 11) / float(1 << 53)
-    drawn = known.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text"), draw.alias("draw")).join(F.broadcast(counts), "lang")
-    drawn = drawn.where(F.col("draw") * F.col("count") < docs_each)
+    known = known.select(F.col(lang_column).cast("string").alias("lang"), F.col(text_column).alias("text"), F.xxhash64(F.col(id_column).cast("string"), text_column).alias("h"))
+    draw = F.shiftrightunsigned("h", 11)
+    counts = saved(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min(draw).alias("least")), "langid_counts")
+    each = min(docs_each, max(1, docs_all // max(1, counts.count())))
+    drawn = known.join(counts, "lang").where((draw / float(1 << 53) * F.col("n") < each) | (draw == F.col("least")))
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
     starts = F.array_distinct(F.array(*(F.floor(F.greatest(F.length("text") - WINDOW, F.lit(0)) * i / max(1, EXCERPTS - 1)) for i in range(EXCERPTS))))
     return drawn.select("lang", F.explode(F.transform(starts, lambda s: F.substr("text", (s + 1).cast("int"), F.lit(WINDOW)))).alias("text"))
 
@@ -178,7 +182,13 @@ def identified(net: dict | None, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """Each row of docs as struct `row`, with held_out, lang_pred and score; learns from the labelled rows of docs."""
+    """Each row of docs as struct `row`, with held_out, lang_pred and score; learns from the labelled rows of docs.
+
+    Id and language only choose the rows that are learned from; a prediction sees the text alone. Null, empty and
+    letterless texts are UNKNOWN with score 0, and so are all rows where no row has a label to learn from. A null id is
+    held out. Equal texts get equal predictions; the whole of a long text counts. An empty table gives no rows. Other
+    columns stay in `row`, whatever their names.
+    """
     net = fit(docs, id_column, text_column, lang_column)
     found = docs.select(F.struct(*docs.columns).alias("row"), (fold(id_column) == 0).alias("held_out"), identified(net, F.col(text_column)).alias("found"))
     return found.select("row", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))

@@ -2,11 +2,13 @@
 
 Entities are found in each text, and each distinct one gets a surrogate from a
 keyed hash: of the same type, gender, script and format. The table of distinct
-entities is then checked: where two entities of a type share a surrogate, or a
-surrogate is itself an entity of the corpus, all but the first draw again, until
-none does. Last, the surrogates are put into the texts that have entities; a
-person's given and family names are entities of their own, so that short and
-full mentions stay consistent.
+entities is then checked: where two entities share a surrogate, or a surrogate
+is itself an entity of the corpus, all but the first draw again, until none
+does; later draws are longer where a format has few values. IPv4 addresses are
+permuted by key within their block instead, since a block may be full. Last,
+the surrogates are put into the texts that have entities; a person's given and
+family names are entities of their own, so that short and full mentions stay
+consistent, and a given name's gender is what its mentions in the corpus tell.
 """
 
 from __future__ import annotations
@@ -22,15 +24,19 @@ from pyspark.sql import functions as F
 
 from .common import saved, text_of
 
-KEY = b"surrogate-key"
-#: Draws for one entity before the job fails.
-MOST_DRAWS = 50
+#: Draws after which a surrogate of a fixed length may equal some other entity of the corpus, but no other surrogate.
+FIRST_DRAWS = 12
+#: Parts in which the mentions of one entity meet its surrogate.
+SALTS = 8
 
 _EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)", re.A)
-_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", re.A)
+_PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|\.\d)", re.A)
 _CARD = re.compile(r"(?<![\w.+-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
+_IP6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)", re.A)
+#: Numbers as they are dialled within a country: a leading zero and groups.
+_NATIONAL = re.compile(r"(?<![\w.+/:-])0\d{1,4}[ ./-]\d{2,4}(?:[ .-]?\d{2,5}){1,4}(?![\w-]|\.\d)", re.A)
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 _NAME_WORD = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+|[Α-ΩΆ-Ώ][α-ωά-ώ]+)(?:-(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁ][а-яё]+))?"
 # Forms of address, by the gender that they tell.
@@ -40,7 +46,23 @@ _TITLES = {
     "u": ("Dr", "Prof", "Professor", "Doctor"),
 }
 _GENDER = {t: g for g, ts in _TITLES.items() for t in ts}
-_PERSON = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, _GENDER), key=len, reverse=True))})\.?[  ]({_NAME_WORD})(?:[  ]({_NAME_WORD}))?")
+# Given names by gender, by which a person without a form of address is known.
+GIVEN = {
+    "m": (
+        "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Andrew Peter George Edward Henry Hans Klaus Jürgen Wolfgang Stefan Heinrich Pierre Jacques François "
+        "Henri Philippe Carlos Juan José Luis Miguel Pedro Diego Иван Пётр Сергей Андрей Дмитрий Николай Михаил Γιώργος Δημήτρης Νίκος"
+    ).split(),
+    "f": (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Helen Anna Maria Laura Emma Julia Ursula Monika Sabine Petra Ingrid Sophie Marie Claire Camille Isabelle "
+        "Juliette Carmen Lucía Sofía Elena Isabel Мария Елена Ольга Наталья Татьяна Μαρία Ελένη"
+    ).split(),
+}
+_TITLE = "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True))
+_PERSON = re.compile(rf"(?<!\w)({_TITLE})\.?[  ](?:[A-ZÀ-ÞА-ЯΑ-Ω]\.[  ]?)*({_NAME_WORD})(?:[  ](?:[A-ZÀ-ÞА-ЯΑ-Ω]\.[  ])*({_NAME_WORD}))?")
+#: Words by which a text names someone: the two capitalised words after them are a person.
+_SAID = re.compile(rf"(?:(?i:\b(?:my name is|signed by|signed|kind regards|best regards|yours sincerely|sincerely|mein name ist|je m'appelle|me llamo|меня зовут))[,:]?\s{{1,3}}|(?m:^)(?:Name|Author|Contact|Employee|Patient)[:=]\s?)({_NAME_WORD})[  ]({_NAME_WORD})")
+_CUES = ("name is", "igned", "egards", "incerely", "ame ist", "appelle", "me llamo", "зовут", "Name", "Author", "Contact", "Employee", "Patient")
+_NAMED = {g: re.compile(rf"(?<!\w)({'|'.join(map(re.escape, names))})[  ](?:[A-ZÀ-ÞА-ЯΑ-Ω]\.[  ])*({_NAME_WORD})") for g, names in GIVEN.items()}
 
 
 def _digits(s: str) -> str:
@@ -58,8 +80,24 @@ def _script(word: str) -> str:
     return "cyrillic" if "а" <= c <= "ё" or c == "ё" else "greek" if "ά" <= c <= "ώ" else "latin"
 
 
+def people_of(text: str) -> Iterator[tuple[str, str, str]]:
+    """(gender, given, family) of each mention that tells a person; given may be empty."""
+    for m in _PERSON.finditer(text):
+        yield _GENDER[m[1]], m[2] if m[3] else "", m[3] or m[2]
+    for gender, pattern in _NAMED.items():
+        if any(name in text for name in GIVEN[gender]):
+            for m in pattern.finditer(text):
+                yield gender, m[1], m[2]
+    if any(cue in text for cue in _CUES):
+        for m in _SAID.finditer(text):
+            yield "u", m[1], m[2]
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical form), in order and without overlaps; on equal starts the earlier type wins."""
+    """(start, end, type, canonical form), in order and without overlaps; on equal starts the longer wins, then the earlier type.
+
+    The type of a given name ends in the gender that this text tells; the name is one entity whatever that is.
+    """
     found = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
@@ -68,11 +106,11 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "card", d) for m in _CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and _luhn(d)]
         found += [(m.start(), m.end(), "ssn", m[0]) for m in _SSN.finditer(text)]
         found += [(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text)]
-        found += [(m.start(), m.end(), "phone", d) for m in _PHONE.finditer(text) if len(d := _digits(m[0])) >= 8]
+        found += [(m.start(), m.end(), "phone", d) for p in (_PHONE, _NATIONAL) for m in p.finditer(text) if len(d := _digits(m[0])) >= 8]
+    if text.count(":") > 1:
+        found += [(m.start(), m.end(), "ip6", m[0].lower()) for m in _IP6.finditer(text)]
     people: dict[str, str] = {}
-    for m in _PERSON.finditer(text):
-        gender = _GENDER[m[1]]
-        given, family = (m[2], m[3]) if m[3] else (None, m[2])
+    for gender, given, family in people_of(text):
         if given:
             people.setdefault(given, f"given-{gender}-{_script(given)}")
         ending = "f" if _script(family) == "cyrillic" and family.endswith("а") else "m"
@@ -126,19 +164,54 @@ _ENDINGS = {
 }
 
 
-def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
-    """The canonical surrogate of a canonical entity. Draws differ by attempt."""
+#: First and last address of the blocks within which IPv4 addresses are permuted; all others are one block.
+_BLOCKS = [(0, (1 << 24) - 1), (224 << 24, (1 << 32) - 1), (10 << 24, (11 << 24) - 1), (127 << 24, (128 << 24) - 1), ((172 << 24) + (16 << 16), (172 << 24) + (32 << 16) - 1), ((192 << 24) + (168 << 16), (192 << 24) + (169 << 16) - 1)]
+
+
+def permuted(key: bytes, label: str, x: int, n: int) -> int:
+    """x's place in a keyed permutation of 0 to n - 1: a Feistel network, walked until it is back in the range."""
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(6):
+            digest = hmac.new(key, f"{label}\0{r}\0{right}".encode(), hashlib.sha256).digest()
+            left, right = right, left ^ int.from_bytes(digest[:8], "big") & mask
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def moved_address(value: str, key: bytes) -> str:
+    """An address of the same block; no two addresses move to one."""
+    parts = [int(p) for p in value.split(".")]
+    x = sum(p << s for p, s in zip(parts, (24, 16, 8, 0), strict=True))
+    block = next(((a, b) for a, b in _BLOCKS if a <= x <= b), None)
+    if block:
+        y = block[0] + permuted(key, f"ip{block[0]}", x - block[0], block[1] - block[0] + 1)
+    else:
+        y = permuted(key, "ip", x, 1 << 32)
+        while any(a <= y <= b for a, b in _BLOCKS):  # the walk leaves out the blocks, and stays a permutation of the rest
+            y = permuted(key, "ip", y, 1 << 32)
+    return ".".join(str(y >> s & 255) for s in (24, 16, 8, 0))
+
+
+def surrogate(kind: str, value: str, attempt: int, key: bytes, gender: str = "u") -> str:
+    """The canonical surrogate of a canonical entity. Draws differ by attempt; those after FIRST_DRAWS are longer where the format allows."""
     d = _Draw(key, kind, value, attempt)
+    more = "".join(chr(97 + d.below(26)) for _ in range(attempt // 4))
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         host, top = domain.rsplit(".", 1)
         same = _Draw(key, "domain", domain, 0)  # mail of one domain keeps one domain
-        return f"{d.like(local)}@{same.like(host)}.{top}"
+        return f"{d.like(local)}{more}@{same.like(host)}.{top}"
     if kind == "ip":
-        a, rest = value.split(".", 1)
-        fixed = {"10": ["10"], "127": ["127"], "192": value.split(".")[:2], "172": value.split(".")[:2]}
-        head = fixed.get(a, [str(d.of([x for x in range(1, 224) if x not in (10, 127, 172, 192)]))])
-        return ".".join(head + [str(1 + d.below(254)) for _ in range(4 - len(head))])
+        return moved_address(value, key)
+    if kind == "ip6":
+        first, rest = value.split(":", 1)
+        wide = iter(range(attempt // 4))
+        hexed = lambda m: "".join("0123456789abcdef"[d.below(16)] for _ in range(min(4, len(m[0]) + (1 if next(wide, None) is not None else 0))))
+        return first + ":" + re.sub("[0-9a-f]+", hexed, rest)
     if kind == "card":
         body = value[0] + "".join(str(d.below(10)) for _ in value[1:])
         if _luhn(value):
@@ -150,8 +223,9 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes = KEY) -> str:
         return f"{value[:2]}{98 - number % 97:02d}{body}"
     if kind in ("phone", "ssn"):
         keep = 1 if kind == "phone" else 0  # the first digit tells the country
-        return value[:keep] + "".join(str(1 + d.below(9)) if c.isdigit() and c != "0" else str(d.below(10)) if c.isdigit() else c for c in value[keep:])
-    part, gender, script = kind.split("-")
+        any_digit = attempt >= FIRST_DRAWS
+        return value[:keep] + "".join(str(1 + d.below(9)) if c.isdigit() and c != "0" and not any_digit else str(d.below(10)) if c.isdigit() else c for c in value[keep:])
+    part, *_, script = kind.split("-")
     stem = "".join(d.of(_SYLLABLES[script]) for _ in range(2 + attempt // 4))
     return stem + d.of(_ENDINGS[part, "m" if part == "family" else gender][script])
 
@@ -180,35 +254,48 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _drawer(key: bytes):
     @F.pandas_udf("string")
-    def draw(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(k, v, int(a), key) for k, v, a in zip(kind, value, attempt, strict=True)], dtype=object)
+    def draw(kind: pd.Series, value: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(k, v, int(a), key, g) for k, v, a, g in zip(kind, value, attempt, gender, strict=True)], dtype=object)
 
     return draw
 
 
 def _seed() -> Column:
-    """The kind that draws: both forms of a family name are one entity."""
-    return F.regexp_replace("kind", "^family-[mf]-", "family-m-")
+    """The kind that draws: both forms of a family name are one entity, and so is a given name with each gender."""
+    return F.regexp_replace(F.regexp_replace("kind", "^family-[mf]-", "family-m-"), "^given-[mfu]-", "given-u-")
+
+
+def distinct_entities(spans: DataFrame) -> DataFrame:
+    """spans: kind, value, repeated or not. Returns kind, value and gender: of a given name, what most of its mentions tell (m if as many tell f)."""
+    told = [F.count_if(F.col("kind").startswith(f"given-{g}-")) for g in "mf"]
+    gender = F.when(told[0] + told[1] == 0, "u").when(told[0] >= told[1], "m").otherwise("f")
+    return spans.withColumn("seed", _seed()).groupBy(F.col("seed").alias("kind"), "value").agg(gender.alias("gender"))
 
 
-def surrogates(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
-    """distinct: kind, value. Adds attempt and made; within a kind no two rows share made, and none is a value of the corpus."""
+def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
+    """entities: distinct kind, value, gender. Adds attempt and made; no two rows share made, whatever their kinds.
+
+    Nor is made a value of the corpus, but for addresses, which are permuted, and numbers that had to draw FIRST_DRAWS times.
+    Rows draw until no two share one: every round leaves fewer, as draws grow longer or, for numbers, more values stay free
+    than are taken.
+    """
     draw = _drawer(key)
-    table = distinct.withColumn("kind", _seed()).distinct().withColumn("attempt", F.lit(0))
-    table = saved(table.withColumn("made", draw("kind", "value", "attempt")), "surrogates")
-    values = table.select("kind", F.col("value").alias("made")).distinct()
-    for _ in range(MOST_DRAWS):
-        first = table.groupBy("kind", "made").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n"))
-        # those that share or copy: the first of each shared one stays, which keeps draws in an order that does not loop
-        shared = first.where("n > 1").select("kind", "made", F.col("first.value").alias("stays"))
-        real = values.join(table.select("kind", "made").distinct(), ["kind", "made"], "left_semi").select("kind", "made", F.lit(None).cast("string").alias("stays"))
-        bad = saved(shared.unionByName(real).groupBy("kind", "made").agg(F.when(F.count_if(F.col("stays").isNull()) > 0, F.lit(None)).otherwise(F.max("stays")).alias("stays")), "surrogates_bad")
+    table = entities.withColumn("attempt", F.lit(0))
+    table = saved(table.withColumn("made", draw("kind", "value", "attempt", "gender")), "surrogates")
+    values = table.where("kind != 'ip'").select(F.col("value").alias("made")).distinct()
+    while True:
+        drawn = table.where("kind != 'ip'")
+        first = drawn.groupBy("made").agg(F.min(F.struct("attempt", "kind", "value")).alias("stays"), F.count("*").alias("n"))
+        # of those that share, the first stays, which keeps draws in an order that does not loop; of those that copy, none
+        shared = first.where("n > 1").select("made", "stays")
+        numbers = F.col("kind").isin("phone", "ssn", "card", "iban") & (F.col("attempt") >= FIRST_DRAWS)
+        copies = drawn.where(~numbers).join(values, "made", "left_semi").select("kind", "value")
+        sharing = drawn.join(shared, "made").where((F.col("kind") != F.col("stays.kind")) | (F.col("value") != F.col("stays.value"))).select("kind", "value")
+        bad = saved(sharing.unionByName(copies).distinct(), "surrogates_bad")
         if bad.isEmpty():
             return table
-        again = table.join(bad, ["kind", "made"], "left_semi").join(bad, ["kind", "made"]).where(F.col("stays").isNull() | (F.col("value") != F.col("stays")))
-        again = again.select("kind", "value", (F.col("attempt") + 1).alias("attempt")).withColumn("made", draw("kind", "value", "attempt"))
-        table = saved(table.join(again, ["kind", "value"], "left_anti").unionByName(again), "surrogates")
-    raise RuntimeError(f"no distinct surrogates after {MOST_DRAWS} draws")
+        again = table.join(bad, ["kind", "value"]).withColumn("attempt", F.col("attempt") + 1).withColumn("made", draw("kind", "value", "attempt", "gender"))
+        table = saved(table.join(bad, ["kind", "value"], "left_anti").unionByName(again), "surrogates")
 
 
 def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,16 +310,21 @@ def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": rows.id, "text": texts, "n_entities": [len(x) for x in rows.spans]})
 
 
-def surrogated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: bytes = KEY) -> DataFrame:
-    """id, text with surrogates, and n_entities of each row of docs. A null text counts as empty.
+def surrogated(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """id, text with surrogates, and n_entities of each row of docs. The same key gives the same surrogates for the same corpus.
 
-    Only texts with entities are shuffled. The same key gives the same surrogates for the same corpus.
+    A null text counts as empty; each repeated row gives a row, with the same text. A null id stays null. Only texts with
+    entities are shuffled. An empty table gives no rows; other columns of docs play no part, whatever their names.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
     rows = docs.select(text_of(text_column).alias("body"), F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("uid"))
     kind = rows.schema["id"].dataType.simpleString()
     found = saved(rows.mapInPandas(_find, f"body string, id {kind}, uid long, spans {_SPAN}"), "privacy")
     spans = found.select("uid", F.inline("spans"))
-    made = surrogates(spans.select("kind", "value").distinct(), key).select(F.col("kind").alias("seed"), "value", "made")
-    drawn = spans.withColumn("seed", _seed()).join(made, ["seed", "value"]).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind", "made")).alias("spans"))
+    made = surrogates(distinct_entities(spans), key).select(F.col("kind").alias("seed"), "value", "made")
+    made = made.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    salted = spans.withColumn("seed", _seed()).withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
+    drawn = salted.join(made, ["seed", "value", "salt"]).groupBy("uid").agg(F.collect_list(F.struct("start", "end", "kind", "made")).alias("spans"))
     changed = found.where(F.size("spans") > 0).drop("spans").join(drawn, "uid").mapInPandas(_replace, f"id {kind}, text string, n_entities long")
     return found.where(F.size("spans") == 0).select("id", F.col("body").alias("text"), F.lit(0).cast("long").alias("n_entities")).unionByName(changed)

@@ -1,14 +1,21 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
 Each rule is a Column that is true where it rejects. On a sample, each rule is
-timed and its rejections are counted; rules then stand in one CASE in the
-order of rejections by second, so a document that a cheap rule rejects never
+timed, and the sets of rules that reject a row are counted; then the rule that
+rejects most of the rows still left, by second, comes first, and so on. Rules
+stand in one CASE in that order, so a document that a cheap rule rejects never
 meets the dear ones. The order changes the time only, never the verdict.
+
+There are two forms. quality() owes every measure for every row, so its rules
+cost only what they add to the measures. verdicts() owes the verdict alone: its
+CASE holds the measures themselves, and a row that an early rule rejects never
+has the dear ones computed.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, saved, text_of
 
-#: Rows, about, of the sample on which rules are timed.
-SAMPLE_ROWS = 2_000
+#: Rows, about, of the sample on which rules are timed, and how often each is timed: the least time counts.
+SAMPLE_ROWS, TIMINGS = 2_000, 3
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Limits of the verdict beyond the base rules: a clean text in any language with letters stays far from them.
@@ -32,78 +39,141 @@ class Rule:
     rejects: Column
 
 
-def _repeated_words(df: DataFrame) -> DataFrame:
-    """words -> n_repeat_words. Each step is a column of its own, so that no array is built again for each element."""
-    n = F.size("words")
-    df = df.withColumn("_h", F.when(n > WINDOW, F.transform("words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))).withColumn("_n", n)
-    window = F.transform(F.sequence(F.lit(0), F.col("_n") - WINDOW), lambda i: F.xxhash64(*(F.get("_h", i + k) for k in range(WINDOW))))
-    df = df.withColumn("_w", F.when(F.col("_n") > WINDOW, window))
-    repeats = F.size(F.array_distinct("_w")) < F.size("_w")
-    df = df.withColumn("_s", F.when(repeats, F.array_sort(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda i, j: F.get("_s", i).getField("h") == F.get("_s", j).getField("h")
-    twice = F.filter("_s", lambda x, i: ((i > 0) & same(i, i - 1)) | ((i + 1 < F.size("_s")) & same(i, i + 1)))
-    df = df.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x.getField("i"))))
-    reach = F.transform("_p", lambda x, i: F.when(i + 1 < F.size("_p"), F.least(F.lit(WINDOW), F.get("_p", i + 1) - x)).otherwise(WINDOW))
-    covered = F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_h", "_n", "_w", "_s", "_p")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; a null text has no words.
+def _words(body: Column) -> Column:
+    return F.array_remove(F.split(body, r"[\x20\x09-\x0D]+"), "")
+
+
+def _lines(body: Column) -> Column:
+    return F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD))
+
+
+def _window_hashes(hashes: Column, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))))
+
+
+def _covered(windows: Column) -> Column:
+    """Words under windows that another one equals: windows sorted by hash, then the places of equal ones in order."""
+
+    def places(s: Column) -> Column:
+        same = lambda i, j: F.get(s, i).getField("h") == F.get(s, j).getField("h")
+        twice = F.filter(s, lambda x, i: ((i > 0) & same(i, i - 1)) | ((i + 1 < F.size(s)) & same(i, i + 1)))
+        return F.array_sort(F.transform(twice, lambda x: x.getField("i")))
+
+    def reach(p: Column) -> Column:
+        to_next = F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), F.least(F.lit(WINDOW), F.get(p, i + 1) - x)).otherwise(WINDOW))
+        return F.aggregate(to_next, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return let(F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda s: let(places(s), reach))
 
-    Columns of docs with one of these names, or `words` or `body`, must be renamed before.
-    """
-    df = docs.withColumn("body", text_of(text_column))
-    df = df.withColumn("words", F.array_remove(F.split("body", r"[\x20\x09-\x0D]+"), ""))
-    df = df.withColumn("n_words", F.size("words").cast("long"))
-    df = df.withColumn("word_chars", F.length(F.regexp_replace("body", r"[\x20\x09-\x0D]+", "")).cast("long"))
-    df = df.withColumn("n_symbols", (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long"))
-    df = df.withColumn("_lines", F.filter(F.split("body", "\n"), lambda x: x.rlike(WORD)))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    df = df.withColumn("_all_lines", F.size("_lines")).drop("_lines")
-    return _repeated_words(df).withColumnRenamed("_all_lines", "n_lines").drop("words")
 
+def repeated_words(words: Column) -> Column:
+    """n_repeat_words of an array of words, as one expression."""
+    none = F.lit(0).cast("long")
+    windows = lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _window_hashes(h, F.size(h)))
+    found = lambda w: let(windows(w), lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), _covered(x)).otherwise(none))
+    return let(words, lambda w: F.when(F.size(w) > WINDOW, found(w)).otherwise(none))
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
+#: Measures that the rules name, in the order of the contract; n_lines and letters and so on are the rules' own.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
-def rules() -> list[Rule]:
-    """On the columns of measures()."""
-    count = lambda c: F.length("body") - F.length(F.translate("body", c, ""))
-    letters = F.length(F.regexp_replace("body", r"[^\p{L}]", ""))
+
+def expressions(body: Column) -> dict[str, Column]:
+    """Each measure as an expression on the text alone, computed where a rule meets it and not before."""
+    return {
+        "n_words": F.size(_words(body)).cast("long"),
+        "word_chars": F.length(F.regexp_replace(body, r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": let(_lines(body), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+        "n_repeat_words": repeated_words(_words(body)),
+        "n_lines": F.size(_lines(body)).cast("long"),
+        "body": body,
+    }
+
+
+def columns() -> dict[str, Column]:
+    """Each measure as the column that measures() adds."""
+    return {m: F.col(m) for m in (*MEASURES, "body")}
+
+
+def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """Each row of docs as struct `row`, with body (the text, empty for null) and MEASURES. Columns of docs may have any names."""
+    df = docs.select(F.struct(*docs.columns).alias("row")).withColumn("body", text_of(F.col("row").getField(text_column)))
+    made = expressions(F.col("body"))
+    # arrays that several measures need are columns of their own, so that none is built twice
+    df = df.withColumn("words", _words(F.col("body"))).withColumn("lines", _lines(F.col("body")))
+    df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("n_lines", F.size("lines").cast("long"))
+    df = df.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    df = df.withColumn("windows", F.when(F.size("words") > WINDOW, F.transform("words", lambda w: F.xxhash64(w))))
+    df = df.withColumn("windows", _window_hashes(F.col("windows"), F.size("windows")))
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    df = df.withColumn("n_repeat_words", F.coalesce(F.when(repeats, _covered(F.col("windows"))), F.lit(0).cast("long")))
+    return df.select("row", "body", *(F.col(m) if m in ("n_words", "n_lines", "n_dup_lines", "n_repeat_words") else made[m].alias(m) for m in MEASURES))
+
+
+def base_failed(m: dict[str, Column] | None = None) -> Column:
+    m = m or columns()
+    return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+
+
+def rules(m: dict[str, Column] | None = None) -> list[Rule]:
+    """The rules on measures, which are columns or, from expressions(), computed in the rule itself."""
+    m = m or columns()
+    count = lambda c: F.length(m["body"]) - F.length(F.translate(m["body"], c, ""))
+    letters = F.length(F.regexp_replace(m["body"], r"[^\p{L}]", ""))
     return [
-        Rule("repeated", 100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        Rule("letters", letters < MIN_LETTERS * F.col("word_chars")),
-        Rule("shouts", count("!") > MAX_SHOUTS_BY_WORD * F.col("n_words")),
-        Rule("symbols", F.col("n_symbols") > MAX_SYMBOLS_BY_WORD * F.col("n_words")),
-        Rule("lines", F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines")),
-        Rule("short", F.col("n_words") < 20),
-        Rule("word_length", (F.col("word_chars") < MIN_WORD_CHARS * F.col("n_words")) | (F.col("word_chars") > MAX_WORD_CHARS * F.col("n_words"))),
+        Rule("repeated", 100 * m["n_repeat_words"] > 30 * m["n_words"]),
+        Rule("letters", letters < MIN_LETTERS * m["word_chars"]),
+        Rule("shouts", count("!") > MAX_SHOUTS_BY_WORD * m["n_words"]),
+        Rule("symbols", m["n_symbols"] > MAX_SYMBOLS_BY_WORD * m["n_words"]),
+        Rule("lines", m["n_dup_lines"] > MAX_DUP_LINES * m["n_lines"]),
+        Rule("short", m["n_words"] < 20),
+        Rule("word_length", (m["word_chars"] < MIN_WORD_CHARS * m["n_words"]) | (m["word_chars"] > MAX_WORD_CHARS * m["n_words"])),
     ]
 
 
 def sample_of(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About `rows` rows, chosen by a seeded draw over the whole table and written once. Only costs are estimated on it."""
+    """About `rows` rows, chosen by a seeded draw over the whole table. Only costs are estimated on it."""
     n = df.count()
-    return saved(df.sample(min(1.0, rows / max(1, n)), seed=7), "quality_sample")
+    return df.sample(min(1.0, rows / max(1, n)), seed=7)
 
 
-def ordered(sample: DataFrame, candidates: list[Rule]) -> list[Rule]:
-    """candidates by rejections per second on the sample."""
-    rejected = sample.agg(F.count("*").alias("n"), *(F.count_if(r.rejects).alias(r.name) for r in candidates)).first()
+def costs(sample: DataFrame, candidates: list[Rule]) -> dict[str, float]:
+    """Seconds of each rule on a written sample, less what reading it takes."""
 
     def seconds(column: Column) -> float:
         began = time.perf_counter()
-        sample.select(column.alias("x")).write.format("noop").mode("overwrite").save()
+        sample.agg(F.count_if(column)).collect()
         return time.perf_counter() - began
 
-    idle = seconds(F.lit(True))
-    cost = {r.name: max(1e-3, seconds(r.rejects) - idle) for r in candidates}
-    return sorted(candidates, key=lambda r: -rejected[r.name] / cost[r.name])
+    least = lambda column: min(seconds(column) for _ in range(TIMINGS))
+    idle = least(F.col("body").isNull())
+    return {r.name: max(1e-3, least(r.rejects) - idle) for r in candidates}
 
 
-def cascade(df: DataFrame, candidates: list[Rule]) -> Column:
+def ordered(sample: DataFrame, candidates: list[Rule], cost: dict[str, float] | None = None) -> list[Rule]:
+    """candidates, each next one by its rejections per second among the rows that those before it leave.
+
+    Equal ones keep the order they came in. sample is a written table; rejections are of the sets of rules that reject a row.
+    """
+    cost = cost or costs(sample, candidates)
+    hit = sample.select(F.array_compact(F.array(*(F.when(r.rejects, F.lit(i)) for i, r in enumerate(candidates)))).alias("hit"))
+    sets = [(set(r.hit), r.n) for r in hit.groupBy("hit").agg(F.count("*").alias("n")).collect()]
+    out, rest = [], list(range(len(candidates)))
+    while rest:
+        best = max(rest, key=lambda i: sum(n for s, n in sets if i in s) / cost[candidates[i].name])
+        rest.remove(best)
+        sets = [(s, n) for s, n in sets if best not in s]
+        out.append(candidates[best])
+    return out
+
+
+def cascade(candidates: list[Rule]) -> Column:
     """The name of the first rule that rejects, null if none does."""
     verdict = F.when(F.lit(False), F.lit(None).cast("string"))
     for r in candidates:
@@ -111,13 +181,28 @@ def cascade(df: DataFrame, candidates: list[Rule]) -> Column:
     return verdict
 
 
-def quality(docs: DataFrame, candidates: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with the measures, base_failed, kept and rejected_by.
+def quality(docs: DataFrame, candidates: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS, text_column: str = "text") -> DataFrame:
+    """Each row of docs as struct `row`, with body, the measures, base_failed, kept and rejected_by.
 
-    rejected_by names one rule that rejects; which of several depends on their order. An empty table gives no rows.
+    The base is decided from the measures; only rows that pass it meet the cascade. rejected_by names one rule that
+    rejects ("base" for the base); which of several depends on their order. A null text counts as empty and fails the
+    base, as an empty one does. Repeated rows get equal verdicts. Columns of docs may have any names. An empty table
+    gives no rows.
     """
     candidates = candidates or rules()
-    best = ordered(measures(sample_of(docs, sample_rows)), candidates)
-    df = measures(docs)
-    df = df.withColumn("rejected_by", cascade(df, best)).withColumn("base_failed", base_failed())
-    return df.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())
+    # written before it is filtered: a filter that Spark pushes below the measures would compute their arrays for each element
+    best = ordered(saved(measures(sample_of(docs, sample_rows), text_column), "quality_sample").where(~base_failed()), candidates)
+    df = measures(docs, text_column).withColumn("base_failed", base_failed())
+    df = df.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(best)))
+    return df.withColumn("kept", F.col("rejected_by").isNull())
+
+
+def verdicts(docs: DataFrame, candidates: Callable[[dict[str, Column]], list[Rule]] = rules, sample_rows: int = SAMPLE_ROWS, text_column: str = "text") -> DataFrame:
+    """Each row of docs as struct `row`, with kept and rejected_by, and no measure that its verdict did not need.
+
+    kept is that of quality(). Nulls, repeats, ties and empty tables count as there.
+    """
+    df = docs.select(F.struct(*docs.columns).alias("row")).withColumn("body", text_of(F.col("row").getField(text_column)))
+    sample = saved(sample_of(df.select("body"), sample_rows), "quality_sample")
+    best = ordered(sample, candidates(expressions(F.col("body"))))
+    return df.withColumn("rejected_by", cascade(best)).select("row", F.col("rejected_by").isNull().alias("kept"), "rejected_by")

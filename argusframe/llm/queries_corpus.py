@@ -18,7 +18,7 @@ OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce('s' || doc_id, 'n') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents
 ), per AS (
   SELECT key, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY key) - 1) % 3 + 1] AS w FROM sized GROUP BY key
@@ -40,11 +40,11 @@ WITH sized AS (
 ), placed AS (
   SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS budget,
          sum(size) OVER (PARTITION BY key ORDER BY h) - sum(size) OVER (PARTITION BY key, h) AS before,
-         sum(size) OVER (PARTITION BY key, h) AS words
+         sum(size) OVER (PARTITION BY key, h) AS words, count(*) OVER (PARTITION BY key, h) AS n, row_number() OVER (PARTITION BY key, h) AS nth
   FROM sized JOIN planned USING (key)
 )
 SELECT doc_id, size, source_size, target,
-       ((whole + CASE WHEN before + words <= budget OR before <= budget AND words < 2 * (budget - before) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       ((whole + CASE WHEN before + words <= budget OR before <= budget AND nth <= floor((budget - before) * n / words + 0.5) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM placed
 """
 
@@ -52,7 +52,7 @@ FROM placed
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of each document."""
     found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP8_SQL = r"""

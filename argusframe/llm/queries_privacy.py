@@ -31,7 +31,11 @@ FROM c LEFT JOIN known ON known.digest = sha256({_ENTIRE.format("lines")}) LEFT
 """
 
 
+#: The key of the query below, so that its results can be compared. A job passes a secret one of its own.
+QUERY_KEY = b"key of the query"
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with surrogates for what it tells of persons."""
-    found = surrogated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = surrogated(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
     return found.select(F.col("id").alias("doc_id"), "text", "n_entities")
