@@ -76,6 +76,23 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(saved(bits, "bits"), "bucket", "left").where(~gone).select(*rows.columns)
 
 
+#: Rows of one key from which that key's row of the other side is broadcast.
+HOT_ROWS = 100_000
+
+
+def met(rows: DataFrame, keyed: DataFrame, on: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows joined with keyed, which has one row for each key and n, how many of rows have it.
+
+    Rows of keys with over hot_rows of them are not shuffled: such keys, of which there are at most a hot_rows-th as many
+    as rows, are broadcast.
+    """
+    hot = saved(keyed.where(F.col("n") > hot_rows), "hot_keys")
+    if hot.isEmpty():
+        return rows.join(keyed.drop("n"), on)
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.where(F.col("n") <= hot_rows).drop("n"), on)
+    return rows.join(F.broadcast(hot.drop("n")), on).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,6 +10,11 @@ to 1 only, which meets each pair once.
 Where a table key has very many fingerprints, those that look it up enumerate
 the ball of the other segment as well and look up whole fingerprints; that
 meets linked pairs only, whatever the size of the group.
+
+similar_dedup() asks for a similarity of five-word shingles instead of a number
+of bits. Copies of a similarity of 0.8 are ten bits apart on average, which no
+ball of few bits reaches; so what the two-bit balls propose is joined by what
+bands of minima propose, and the shingles of all proposed pairs are compared.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import placed, saved, text_of, without
+from .common import HOT_ROWS, met, placed, saved, text_of, without
 from .components import components
+from .minhash import HOT_BAND, SIMILARITY, WORDS, bands, near_roots, shingles
 
 #: Shingles that are counted at once, which bounds memory on very long texts.
 AT_ONCE = 1 << 16
@@ -33,19 +39,22 @@ AT_ONCE = 1 << 16
 HOT_KEY = 256
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are those that over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), AT_ONCE):
+        ones += np.unpackbits(hashes[i : i + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def simhash(text: str, words: int = 3, seed: int = 42) -> int:
-    """The signed 64-bit fingerprint: a bit is set if over half of the shingles' hashes have it."""
+    """The signed 64-bit fingerprint of all shingles, repeats included; zero without a word."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return 0
-    shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
+    parts = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(w) - words + 1)
-    hashes = np.fromiter((digest(x, seed) for x in shingles), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, AT_ONCE):
-        ones += np.unpackbits(hashes[i : i + AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+    return majority(np.fromiter((digest(x, seed) for x in parts), np.uint64, max(1, len(w) - words + 1)))
 
 
 @F.pandas_udf(T.LongType())
@@ -106,21 +115,63 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return _grouped(rows, hot_key)
 
 
-def _grouped(rows: DataFrame, hot_key: int) -> DataFrame:
-    prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash_prints")
+def _grouped(rows: DataFrame, hot_key: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    prints = saved(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash_prints")
     roots = components(links(prints.select("fp"), hot_key))
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("group")), "root").select("fp", "root", "group")
-    return rows.join(named, "fp")
+    rooted = saved(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash_rooted")
+    groups = rooted.groupBy("root").agg(F.min("least").alias("group"))
+    named = rooted.join(groups, "root").select("fp", "root", "group", "n")
+    return met(rows, named, "fp", hot_rows)
 
 
-def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with one row of each group: that with the smallest id (of ties, and of rows without ids, any one of equal rows)."""
-    body = F.col("row").getField(text_column)
-    packed = placed(docs.select(F.struct(*docs.columns).alias("row")).withColumn("fp", fingerprint(body)), "simhash_packed")
-    rows = packed.select(F.col("row").getField(id_column).alias("id"), "fp", "uid", "bucket", "part", "pos")
-    grouped = saved(_grouped(rows, HOT_KEY), "simhash_grouped")
+def _kept(packed: DataFrame, grouped: DataFrame, hot_rows: int) -> DataFrame:
+    """packed without the rows of grouped (id, root, uid and their place) that are not the first of their root, by id."""
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "uid")
     first = grouped.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    dropped = grouped.join(first, "root").where(F.col("uid") != F.col("first.uid"))
+    dropped = met(grouped, first, "root", hot_rows).where(F.col("uid") != F.col("first.uid"))
     return without(packed, dropped).select("row.*")
+
+
+def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """docs with one row of each group of near_groups: that with the smallest id (of ties, and of rows without ids, any one of equal rows)."""
+    body = F.col("row").getField(text_column)
+    packed = placed(docs.select(F.struct(*docs.columns).alias("row")).withColumn("fp", fingerprint(body)), "simhash_packed")
+    rows = packed.select(F.col("row").getField(id_column).alias("id"), "fp", "uid", "bucket", "part", "pos")
+    return _kept(packed, saved(_grouped(rows, HOT_KEY, hot_rows), "simhash_grouped"), hot_rows)
+
+
+def _sketches(words: int):
+    @F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            sets = [shingles(x, words) for x in texts]
+            yield pd.DataFrame({"fp": pd.Series([majority(x) for x in sets], dtype="int64"), "keys": pd.Series([bands(x) for x in sets], dtype=object)})
+
+    return sketches
+
+
+def close(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows: uid, fp. Pairs (a, b), a < b: each row with the first of its fingerprint, and the first rows of linked fingerprints."""
+    first = saved(rows.groupBy("fp").agg(F.min("uid").alias("first"), F.count("*").alias("n")), "simhash_first")
+    same = met(rows, first.where("n > 1"), "fp", hot_rows).where("uid != first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    linked = links(first.select("fp"))
+    for side in "ab":
+        linked = linked.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"row_{side}")), side)
+    return same.unionByName(linked.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")))
+
+
+def similar_dedup(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY, hot_band: int = HOT_BAND, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """docs with one row of each group that near copies link: that with the smallest id (of ties, and of rows without ids, any one).
+
+    Two rows are near copies if the Jaccard similarity of their distinct shingles of `words` words is `similarity` or more;
+    a text of fewer words is one shingle. Null texts count as empty, and empty texts are copies of each other. An empty
+    table gives no rows; columns of docs may have any names.
+    """
+    body: Column = text_of(F.col("row").getField(text_column))
+    packed = placed(docs.select(F.struct(*docs.columns).alias("row")).withColumn("sketch", _sketches(words)(body)), "simhash_packed")
+    near = close(packed.select("uid", "sketch.fp"), hot_rows)
+    roots = near_roots(packed.select("uid", body.alias("text")), packed.select("uid", "sketch.keys"), near, words, similarity, hot_band)
+    ids = packed.select(F.col("row").getField(id_column).alias("id"), "uid", "bucket", "part", "pos")
+    return _kept(packed, saved(ids.join(roots.withColumnRenamed("node", "uid"), "uid"), "simhash_grouped"), hot_rows)

@@ -3,7 +3,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from argusframe.llm import minhash
+from argusframe.llm import simhash
 
 
 def plain(rows):
@@ -26,13 +26,13 @@ def plain(rows):
 
 
 @pytest.mark.parametrize("hot", [32, 3])
-def test_near_dedup_against_all_pairs(spark, hot):
+def test_similar_dedup_against_all_pairs(spark, hot):
     """A large group of near copies, a chain, pairs on both sides of 0.8, and short, empty and null texts."""
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join([*base, f"end{i}"])) for i in range(50)] + [(100 + i, " ".join(f"c{k}" for k in range(8 * i, 8 * i + 200))) for i in range(8)]
     rows += [(200, " ".join(f"v{k}" for k in range(104))), (201, " ".join(f"v{k}" for k in range(104 + 25))), (202, " ".join(f"v{k}" for k in range(104 + 60)))]
     rows += [(300, "one two"), (301, "one two"), (302, "one three"), (303, None), (304, "")]
-    got = minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot_band=hot)
+    got = simhash.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot_band=hot, hot_rows=hot)
     assert sorted(r.doc_id for r in got.collect()) == plain(rows) == [0, 100, 200, 202, 300, 302, 303]
 
 
