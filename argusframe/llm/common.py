@@ -67,13 +67,25 @@ def _bits(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": [rows.bucket.iloc[0]], "parts": [parts], "starts": [starts], "sizes": [sizes], "words": [np.packbits(flags, bitorder="little").view(np.int64)]})
 
 
-def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """rows of placed() but those dropped (bucket, part, pos). One bit a row goes to each bucket; the rows themselves stay where they are."""
-    bits = dropped.select("bucket", "part", "pos").groupBy("bucket").applyInPandas(_bits, "bucket int, parts array<long>, starts array<long>, sizes array<long>, words array<long>")
+def _marked(rows: DataFrame, chosen: DataFrame) -> tuple[DataFrame, Column]:
+    """rows of placed() with a Column that is true for those chosen (bucket, part, pos). One bit a row goes to each bucket; the rows themselves stay where they are."""
+    bits = chosen.select("bucket", "part", "pos").groupBy("bucket").applyInPandas(_bits, "bucket int, parts array<long>, starts array<long>, sizes array<long>, words array<long>")
     at = "cast(array_position(parts, cast(part AS bigint)) AS int) - 1"
     bit = f"(get(starts, {at}) + pos)"
-    gone = F.expr(f"coalesce(pos < get(sizes, {at}) AND shiftright(get(words, cast({bit} div 64 AS int)), cast({bit} % 64 AS int)) & 1L = 1L, false)")
-    return rows.join(saved(bits, "bits"), "bucket", "left").where(~gone).select(*rows.columns)
+    is_chosen = F.expr(f"coalesce(pos < get(sizes, {at}) AND shiftright(get(words, cast({bit} div 64 AS int)), cast({bit} % 64 AS int)) & 1L = 1L, false)")
+    return rows.join(saved(bits, "bits"), "bucket", "left"), is_chosen
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """rows of placed() but those dropped."""
+    met, gone = _marked(rows, dropped)
+    return met.where(~gone).select(*rows.columns)
+
+
+def only(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Those rows of placed() that are chosen."""
+    met, stays = _marked(rows, chosen)
+    return met.where(stays).select(*rows.columns)
 
 
 #: Rows of one key from which that key's row of the other side is broadcast.

@@ -172,6 +172,6 @@ def similar_dedup(
     body: Column = text_of(F.col("row").getField(text_column))
     packed = placed(docs.select(F.struct(*docs.columns).alias("row")).withColumn("sketch", _sketches(words)(body)), "simhash_packed")
     near = close(packed.select("uid", "sketch.fp"), hot_rows)
-    roots = near_roots(packed.select("uid", body.alias("text")), packed.select("uid", "sketch.keys"), near, words, similarity, hot_band)
+    roots = near_roots(packed, body, packed.select("uid", "sketch.keys"), near, words, similarity, hot_band)
     ids = packed.select(F.col("row").getField(id_column).alias("id"), "uid", "bucket", "part", "pos")
     return _kept(packed, saved(ids.join(roots.withColumnRenamed("node", "uid"), "uid"), "simhash_grouped"), hot_rows)
