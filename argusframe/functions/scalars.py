@@ -141,11 +141,13 @@ def text_fingerprint(c: Column) -> Column:
 
 
 def has_sql_injection(c: Column) -> Column:
-    return c.rlike(r"(?i)\bunion\b.+\bselect\b|\bselect\b.+\bfrom\b|\binsert\b.+\binto\b|\bdrop\b.+\btable\b|--|;|\bor\b\s+1\s*=\s*1")
+    """Words of statements, marks of comments and ends, conditions that are always true, and procedures of the server."""
+    statements = r"\bunion\b.+\bselect\b|\bselect\b.+\bfrom\b|\binsert\b.+\binto\b|\bupdate\b.+\bset\b|\bdelete\b.+\bfrom\b|\b(?:drop|alter)\b.+\btable\b"
+    return c.rlike(rf"(?i){statements}|--|;|/\*|\*/|\b(?:or|and)\b\s+1\s*=\s*1|\bxp_cmdshell\b|\bsp_executesql\b")
 
 
 def has_xss(c: Column) -> Column:
-    return c.rlike(r"(?i)<script|javascript:|onerror\s*=|onload\s*=|onclick\s*=|<iframe|<embed|<object|document\.cookie|alert\(|eval\(")
+    return c.rlike(r"(?i)<script|javascript:|onerror\s*=|onload\s*=|onclick\s*=|onmouseover\s*=|<iframe|<embed|<object|document\.cookie|alert\(|eval\(")
 
 
 def escape_html(c: Column) -> Column:

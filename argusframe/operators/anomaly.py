@@ -13,9 +13,8 @@ ORDER = ["timestamp", "event_id"]
 def rate_anomalies(events: DataFrame, by: str = "source_ip", threshold: float = 3.0, warm_up: int = 25) -> DataFrame:
     """Events at which a key's count over the last minute is far above its past counts."""
     counted = events.withColumn("per_minute", rolling_count([by], 60).cast("double"))
-    before = Window.partitionBy(by).orderBy(*ORDER).rowsBetween(-1000, -1)
-    counted = counted.withColumn("_mean", F.avg("per_minute").over(before))
-    return z_scores(counted, "per_minute", [by], ORDER, warm_up).where((F.col("z") > threshold) & (F.col("per_minute") > F.col("_mean"))).drop("_mean")
+    scored = z_scores(counted, "per_minute", [by], ORDER, warm_up, mean="_mean")
+    return scored.where((F.col("z") > threshold) & (F.col("per_minute") > F.col("_mean"))).drop("_mean")
 
 
 def rare_events(events: DataFrame, by: str = "source_ip") -> DataFrame:

@@ -1,8 +1,8 @@
 """Threshold correlation, re-fire limits, suppression and alert dedup, on event time.
 
 The three limits are greedy: a row counts only if the last one that counted
-is far enough back. Each key's candidates are folded in order; candidates are
-first thinned to those that can matter, and keys are independent.
+is far enough back. Each key's candidates are folded in order, and keys are
+independent; a null key is a key as any other.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .rules import Rule
 from .windows import rolling_count
@@ -28,26 +27,28 @@ def threshold_hits(events: DataFrame, rule: Rule) -> DataFrame:
     return matched.withColumn("n", rolling_count(["group_key"], rule.window)).where(F.col("n") >= rule.threshold).withColumn("rule_id", F.lit(rule.rule_id))
 
 
-def greedy(df: DataFrame, by: list[str], gap: float, order: tuple[str, ...] = ("timestamp", "event_id"), at: str = "timestamp") -> DataFrame:
-    """The rows that count: of each key the first, then each one at least `gap` seconds after the last that counted.
+def greedy(df: DataFrame, by: list[str], gap: float | str, order: tuple[str, ...] = ("timestamp", "event_id"), at: str = "timestamp") -> DataFrame:
+    """The rows that count: of each key the first, then each one at least `gap` seconds (or a column of seconds) after the last that counted.
 
     Rows of a key stream through one task in order, in batches; only the time of the last that counted is kept.
     """
-    keys = T.StructType([df.schema[b] for b in by])
+    # as text, since pandas makes NaN of null numbers, which equals nothing
+    keyed = df.withColumn("_key", F.to_json(F.struct(*by)))
 
     def fold(batches):
-        last: dict[tuple, float] = {}
+        last: tuple = (None, 0.0)
         for rows in batches:
             keep = []
             stamps = pd.to_datetime(rows[at]).astype("datetime64[us]").astype("int64") / 1e6
-            for key, t in zip(rows[list(keys.names)].itertuples(index=False, name=None), stamps, strict=True):
-                counts = key not in last or t - last[key] >= gap
+            gaps = rows[gap] if isinstance(gap, str) else [gap] * len(rows)
+            for key, t, g in zip(rows["_key"], stamps, gaps, strict=True):
+                counts = key != last[0] or t - last[1] >= g
                 if counts:
-                    last = {key: t}  # keys come one after the other
+                    last = (key, t)  # keys come one after the other
                 keep.append(counts)
             yield rows[keep]
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(fold, df.schema)
+    return keyed.repartition("_key").sortWithinPartitions("_key", *order).mapInPandas(fold, keyed.schema).drop("_key")
 
 
 def escalated(rule: Rule, n: Column) -> Column:
@@ -57,13 +58,27 @@ def escalated(rule: Rule, n: Column) -> Column:
 
 
 def correlate(events: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Alerts of all correlation rules: a rule fires again for a group only after half of its window."""
-    per = []
-    for rule in (r for r in rules if r.enabled and r.rule_type == "correlation"):
-        hits = threshold_hits(events, rule).select("rule_id", "group_key", "timestamp", "event_id", "n")
-        fired = greedy(hits, ["group_key"], rule.window / 2)
-        per.append(fired.withColumn("alert_severity", escalated(rule, F.col("n"))).withColumn("alert_risk", F.least(F.lit(100.0), F.col("n") * rule.confidence * 10)))
-    return reduce(DataFrame.unionByName, per)
+    """Alerts of all correlation rules: a rule fires again for a group only after half of its window. Without a rule there are none.
+
+    Events are read and shuffled once, however many the rules are: each event gives a row for each rule that it meets, and
+    windows of all lengths are counted over one order of rule and group.
+    """
+    rules = [r for r in rules if r.enabled and r.rule_type == "correlation"]
+    columns = set(events.columns)
+
+    def met(r: Rule) -> Column:
+        facts = {"rule_id": F.lit(r.rule_id), "group_key": group_key(tuple(f for f in r.group_by if f in columns)), "window": F.lit(float(r.window)), "threshold": F.lit(int(r.threshold)), "severity": F.lit(r.severity), "confidence": F.lit(float(r.confidence))}
+        return F.when(r.matches(columns), F.struct(*(c.alias(k) for k, c in facts.items())))
+
+    none = F.lit(None).cast("struct<rule_id: string, group_key: string, window: double, threshold: int, severity: string, confidence: double>")
+    rows = events.select("timestamp", "event_id", F.explode(F.array_compact(F.array(none, *map(met, rules)))).alias("r")).select("timestamp", "event_id", "r.*")
+    n = reduce(lambda c, w: c.when(F.col("window") == float(w), rolling_count(["rule_id", "group_key"], w)), sorted({r.window for r in rules}), F.when(F.lit(False), F.lit(0).cast("long")))
+    hits = rows.withColumn("n", n).where("n >= threshold").withColumn("gap", F.col("window") / 2)
+    fired = greedy(hits, ["rule_id", "group_key"], "gap")
+    high = F.when(F.col("severity") == "critical", "critical").otherwise("high")
+    severity = F.when(F.col("n") >= 3 * F.col("threshold"), "critical").when(F.col("n") >= 2 * F.col("threshold"), high).otherwise(F.col("severity"))
+    risk = F.least(F.lit(100.0), F.col("n") * F.col("confidence") * 10)
+    return fired.select("rule_id", "group_key", "timestamp", "event_id", "n", severity.alias("alert_severity"), risk.alias("alert_risk"))
 
 
 def suppress(alerts: DataFrame, seconds: float, by: tuple[str, ...] = ("rule_id", "source_ip")) -> DataFrame:

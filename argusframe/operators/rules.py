@@ -101,13 +101,13 @@ def load_rules(path: str) -> list[Rule]:
 def matching(events: DataFrame, rules: list[Rule]) -> DataFrame:
     """events with the ids of the rules that each one meets, in rule_ids."""
     columns = set(events.columns)
-    return events.withColumn("rule_ids", F.array_compact(F.array(*(F.when(r.matches(columns), F.lit(r.rule_id)) for r in rules))))
+    return events.withColumn("rule_ids", F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(r.matches(columns), F.lit(r.rule_id)) for r in rules))))
 
 
 def detect(events: DataFrame, rules: list[Rule], key: str = "event_id") -> DataFrame:
-    """One alert for each event and single-event rule that it meets."""
+    """One alert for each event and single-event rule that it meets; without a rule there are none."""
     rules = [r for r in rules if r.enabled and r.rule_type != "correlation"]
-    facts = F.create_map(*(x for r in rules for x in (F.lit(r.rule_id), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.confidence * 50).alias("risk"), F.lit(",".join(r.mitre)).alias("mitre")))))
+    facts = F.create_map(*(x for r in [*rules, Rule("", "low", ())] for x in (F.lit(r.rule_id), F.struct(F.lit(r.severity).alias("severity"), F.lit(r.confidence * 50).alias("risk"), F.lit(",".join(r.mitre)).alias("mitre")))))
     hits = matching(events, rules).where(F.size("rule_ids") > 0).withColumn("rule_id", F.explode("rule_ids"))
     fact = facts[F.col("rule_id")]
     risk = F.coalesce(F.col("risk_score"), fact["risk"]) if "risk_score" in events.columns else fact["risk"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,27 @@ def rolling_count(by: list[str], seconds: int, at: str = "timestamp") -> Column:
     return F.count("*").over(w)
 
 
-def z_scores(df: DataFrame, value: str, by: list[str], order: list[str], warm_up: int = 30, rows: int = 1000) -> DataFrame:
-    """df with z: how many deviations a value is from the mean of those before it; null while fewer than warm_up are known."""
-    w, c = prior(by, order, rows), F.col(value)
-    known, mean, dev = F.count(c).over(w), F.avg(c).over(w), F.stddev_samp(c).over(w)
-    return df.withColumn("z", F.when((known >= warm_up) & (dev > 0), F.abs(c - mean) / dev))
+def z_scores(df: DataFrame, value: str, by: list[str], order: list[str], warm_up: int = 30, rows: int = 1000, mean: str | None = None) -> DataFrame:
+    """df with z: how many deviations a value is from the mean of the `rows` before it; null while fewer than warm_up are known.
+
+    Count, sum and sum of squares run on over the key, less what they were `rows` rows ago: a step for each row, whatever
+    the length of the frame. Sums are of distances from the key's first value, which keeps their digits. mean: a column to
+    add for the mean itself.
+    """
+    run = Window.partitionBy(*by).orderBy(*order)
+    before, c = run.rowsBetween(Window.unboundedPreceding, -1), F.col(value).cast("double")
+    df = df.withColumn("_c", c - F.coalesce(F.first(c, ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    sums = {"_n": F.count("_c"), "_s": F.sum("_c"), "_q": F.sum(F.col("_c") * F.col("_c"))}
+    for name, total in sums.items():
+        df = df.withColumn(name, F.coalesce(total.over(before), F.lit(0)))
+    for name in sums:
+        df = df.withColumn(f"{name}w", F.col(name) - F.coalesce(F.lag(name, rows).over(run), F.lit(0)))
+    centre = F.col("_sw") / F.col("_nw")
+    var = (F.col("_qw") - F.col("_sw") * centre) / (F.col("_nw") - 1)
+    varies = (F.col("_nw") > 1) & (var > 1e-12 * F.col("_qw") / F.col("_nw"))  # what is below is rounding
+    df = df.withColumn("z", F.when((F.col("_nw") >= warm_up) & varies, F.abs(F.col("_c") - centre) / F.sqrt(var)))
+    df = df.withColumn(mean, F.when(F.col("_nw") > 0, c - F.col("_c") + centre)) if mean else df
+    return df.drop("_c", *sums, *(f"{n}w" for n in sums))
 
 
 def iqr_scores(df: DataFrame, value: str, by: list[str], order: list[str], k: float = 1.5, warm_up: int = 20, rows: int = 1000) -> DataFrame:
@@ -39,11 +57,16 @@ def iqr_scores(df: DataFrame, value: str, by: list[str], order: list[str], k: fl
 
 
 def ewma(df: DataFrame, value: str, by: str, order: list[str], alpha: float = 0.3) -> DataFrame:
-    """by and the exponentially weighted mean after the last row of each key, seeded by its first value. A key's values meet in one task."""
-    values = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    first = F.struct(F.lit(True).alias("none"), F.lit(0.0).alias("v"))
-    step = lambda a, x: F.struct(F.lit(False).alias("none"), F.when(a["none"], x["_v"]).otherwise(alpha * x["_v"] + (1 - alpha) * a["v"]).alias("v"))
-    return df.groupBy(by).agg(F.aggregate(values, first, step)["v"].alias("ewma"))
+    """by and the exponentially weighted mean after the last row of each key, seeded by its first value. Null values do not count.
+
+    A row's weight is alpha * (1 - alpha) ** (rows after it), so only a key's last rows have one above zero in a double:
+    about 2,100 at 0.3. Spark keeps those before it shuffles, and no key's history meets in one task.
+    """
+    q = 1 - alpha
+    weighted = math.ceil(math.log(5e-324) / math.log(q)) if 0 < q < 1 else 1
+    last = last_of(df.where(F.col(value).isNotNull()), [by], order, max(2, weighted), rank="_rank")
+    v, r = F.col(value).cast("double"), F.col("_rank")
+    return last.groupBy(by).agg((F.sum(alpha * F.pow(F.lit(q), r - 1) * v) + F.pow(F.lit(q), F.max(r)) * F.max_by(v, r)).alias("ewma"))
 
 
 def rare_pairs(df: DataFrame, by: str, pair: list[str], order: list[str], total: int = 100, most: int = 2, share: float = 0.02) -> DataFrame:
@@ -53,9 +76,11 @@ def rare_pairs(df: DataFrame, by: str, pair: list[str], order: list[str], total:
     return seen.where((F.col("total_n") > total) & (F.col("pair_n") <= most) & (F.col("pair_n") / F.col("total_n") < share))
 
 
-def last_of(df: DataFrame, by: list[str], order: list[str], n: int = 5) -> DataFrame:
+def last_of(df: DataFrame, by: list[str], order: list[str], n: int = 5, rank: str | None = None) -> DataFrame:
+    """The last n rows of each key; rank: a column to add for their place from the end."""
     w = Window.partitionBy(*by).orderBy(*[F.desc(o) for o in order])
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+    last = df.withColumn(rank or "_rank", F.row_number().over(w)).where(F.col(rank or "_rank") <= n)
+    return last if rank else last.drop("_rank")
 
 
 def ewma_deviation(df: DataFrame, value: str, by: str, order: list[str], alpha: float = 0.3) -> DataFrame:

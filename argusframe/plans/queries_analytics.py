@@ -89,7 +89,7 @@ _add("t03_shipped_rules", lambda df: correlate.correlate(df, catalogue.RULES).gr
 
 _add("t08_rate", lambda df: anomaly.rate_anomalies(df, "severity", 2.0, 25).select("event_id"), ", c AS (SELECT *, count(*) OVER (PARTITION BY severity ORDER BY timestamp RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW)::DOUBLE AS k FROM canon), w AS (SELECT event_id, k, count(k) OVER p AS n, avg(k) OVER p AS m, stddev_samp(k) OVER p AS s FROM c WINDOW p AS (PARTITION BY severity ORDER BY timestamp, event_id ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING)) SELECT event_id FROM w WHERE n >= 25 AND s > 0 AND abs(k - m) / s > 2.0 AND k > m")
 _add("t09_rare", lambda df: anomaly.rare_events(df, "severity").select("event_id"), ", w AS (SELECT event_id, count(*) OVER (PARTITION BY severity, event_type, action ORDER BY timestamp, event_id) AS k, count(*) OVER (PARTITION BY severity ORDER BY timestamp, event_id) AS n FROM canon) SELECT event_id FROM w WHERE n > 100 AND k <= 2 AND k / n < 0.02")
-_add("t10_time", lambda df: anomaly.time_anomalies(df.where("hour(timestamp) BETWEEN 9 AND 15 OR event_id % 9 = 0"), "product").select("event_id"), ", s AS (SELECT *, hour(timestamp) AS h FROM canon WHERE hour(timestamp) BETWEEN 9 AND 15 OR event_id % 9 = 0), w AS (SELECT event_id, h, count(h) OVER p AS n, quantile_cont(h, 0.25) OVER p AS q1, quantile_cont(h, 0.75) OVER p AS q3 FROM s WINDOW p AS (PARTITION BY product ORDER BY timestamp, event_id ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING)) SELECT event_id FROM w WHERE n >= 20 AND q3 > q1 AND (h < q1 - 2 * (q3 - q1) OR h > q3 + 2 * (q3 - q1)) AND (h < 6 OR h >= 23)")
+_add("t10_time", lambda df: anomaly.time_anomalies(df, "product").select("event_id"), ", s AS (SELECT *, hour(timestamp) AS h FROM canon), w AS (SELECT event_id, h, count(h) OVER p AS n, quantile_cont(h, 0.25) OVER p AS q1, quantile_cont(h, 0.75) OVER p AS q3 FROM s WINDOW p AS (PARTITION BY product ORDER BY timestamp, event_id ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING)) SELECT event_id FROM w WHERE n >= 20 AND q3 > q1 AND (h < q1 - 2 * (q3 - q1) OR h > q3 + 2 * (q3 - q1)) AND (h < 6 OR h >= 23)")
 _add("t11_first_seen", lambda df: anomaly.first_seen_pairs(df).select("event_id"), "SELECT event_id FROM canon QUALIFY row_number() OVER (PARTITION BY source_user, source_ip ORDER BY timestamp, event_id) = 1")
 _add("t12_anomaly_alert", lambda df: df.select("event_id", anomaly.anomaly_severity(F.col("value") / 10).alias("severity"), anomaly.anomaly_risk(F.col("value") / 10).alias("risk")), "SELECT event_id, CASE WHEN value / 10 > 5 THEN 'critical' WHEN value / 10 > 3 THEN 'high' ELSE 'medium' END AS severity, least(100.0, 15 * (value / 10)) AS risk FROM canon")
 _RISK = """, b AS (SELECT *, least(100.0, 25 * CASE severity WHEN 'info' THEN 0.1 WHEN 'low' THEN 0.25 WHEN 'medium' THEN 0.5 WHEN 'high' THEN 0.8 ELSE 0.9 END

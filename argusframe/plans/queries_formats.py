@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..functions import normalise, scalars
 from ..operators import alerts, catalogue, lookups, risk, rules, windows
 from ..operators.predicates import OPERATORS
 from ..sources import parsers, readers, sinks
-from .canonical import WITH, canonical
+from .canonical import WITH, canonical, shared_base
 
 NOW = dt.datetime(2024, 1, 20)
 BY = ["timestamp", "event_id"]
@@ -40,7 +39,7 @@ def _mapped(name, line, parse, fields, sql):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-files-")
+    base = shared_base(spark)
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 

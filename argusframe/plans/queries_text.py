@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from ..functions import normalise, scalars
 from ..operators import catalogue, rules
 from ..sources import parsers, readers, sinks
 from ..streaming import streams
-from .canonical import WITH, canonical
+from .canonical import WITH, canonical, shared_base
 
 QUERIES, SQL = {}, {}
 
@@ -112,8 +111,8 @@ def _normalised(df):
 
 _add("n05_pipeline", _normalised, "SELECT 'warning' AS severity, 'deny' AS action, direction, CASE dest_port WHEN 22 THEN 'ssh' WHEN 443 THEN 'https' WHEN 3389 THEN 'rdp' WHEN 53 THEN 'dns' WHEN 80 THEN 'http' WHEN 445 THEN 'smb' END AS category, count(*) AS n, TIMESTAMP '2024-01-15 10:30:00' AS at FROM canon GROUP BY ALL")
 QUERIES["s18_simulator"] = lambda spark, d: parsers.parsed(readers.simulated(spark, 5000)).groupBy("format").agg(F.count("*").alias("n"))
-QUERIES["s20_scan"] = lambda spark, d: readers.read_table(spark, f"{d}/events.parquet", "parquet").select("event_id", "user_id").where("event_id < 100")
-SQL["s20_scan"] = "SELECT event_id, user_id FROM events WHERE event_id < 100"
+QUERIES["s20_scan"] = lambda spark, d: readers.read_table(spark, f"{d}/events.parquet", "parquet").select("event_id", "user_id")
+SQL["s20_scan"] = "SELECT event_id, user_id FROM events"
 QUERIES["s08_webhook"] = lambda spark, d: readers.rows_of(spark, ["a=1 b=2\nc=3 d=4", "e"]).select("raw")
 SQL["s08_webhook"] = "SELECT unnest(['a=1 b=2', 'c=3 d=4', 'e']) AS raw"
 _add("k02_upsert", lambda df: sinks.upsert(df.select("event_id", "severity"), df.where("event_id % 10 = 0").select("event_id", F.lit("new").alias("severity")), "event_id"), "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'new' ELSE severity END AS severity FROM canon")
@@ -124,7 +123,7 @@ _add("k05_export", lambda df: df.select("event_id", F.to_json(F.struct("action",
 def _streamed(df, make, mode="append"):
     """Runs a stream over the canonical rows, written once as its source, until all are read."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    base = shared_base(spark)
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     ready = df.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     ready.repartitionByRange(4, "timestamp").write.parquet(f"{path}/in")

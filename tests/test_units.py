@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from argusframe.functions import normalise, scalars
-from argusframe.operators import catalogue, correlate, lookups, rules, search
+from argusframe.operators import anomaly, catalogue, correlate, lookups, rules, search, windows
 from argusframe.operators.predicates import OPERATORS, predicate
 from argusframe.sources import parsers
 
@@ -118,3 +118,68 @@ def test_normalise(spark):
     df = spark.createDataFrame([("192.168.1.1", "HIGH", "FAILED", "SUCCESSFUL", "bad time", "443")], "source_ip string, severity string, action string, result string, timestamp string, dest_port string")
     row = normalise.normalised(df).first()
     assert (row.severity, row.action, row.result, row.source_is_internal, row.direction, row.category, row.tags) == ("high", "failed", "success", True, "outbound", "https", ["invalid_timestamp"])
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+def test_greedy_knows_null_keys(spark, kind):
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, at + dt.timedelta(seconds=i), None) for i in range(5)] + [(9, at, "7")], "event_id long, timestamp timestamp, key string").withColumn("key", F.col("key").cast(kind))
+    assert sorted(r.event_id for r in correlate.greedy(df, ["key"], 100).collect()) == [0, 9]
+
+
+def test_no_rules_give_no_alerts(spark):
+    events = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "a", "1.1.1.1")], "event_id long, timestamp timestamp, action string, source_ip string")
+    assert correlate.correlate(events, []).count() == rules.detect(events, []).count() == 0
+    assert correlate.correlate(events, []).columns == ["rule_id", "group_key", "timestamp", "event_id", "n", "alert_severity", "alert_risk"]
+
+
+def test_correlation_of_rules_with_several_windows(spark):
+    """One pass over all rules gives what each rule gives alone, and reads the events once."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(seconds=(i * 37) % 900), "logon_failed" if i % 3 else "read", f"1.1.1.{i % 4}" if i % 7 else None) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id long, timestamp timestamp, action string, source_ip string")
+    made = [rules.Rule(f"C{w}{t}", "medium", ((("action", "eq", a),),), "correlation", window=w, threshold=t, group_by=g) for w, t, a, g in ((60, 2, "logon_failed", ("source_ip",)), (300, 5, "read", ()), (60, 3, "read", ("source_ip",)))]
+    together = correlate.correlate(events, made)
+    alone = [r for rule in made for r in correlate.correlate(events, [rule]).collect()]
+    hits = [r for rule in made for r in correlate.threshold_hits(events, rule).collect()]
+    assert sorted(map(str, together.collect())) == sorted(map(str, alone))
+    assert {(r.rule_id, r.event_id, r.n) for r in alone} <= {(r.rule_id, r.event_id, r.n) for r in hits}
+    assert len(alone) > 5
+    assert together._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_z_scores_and_weighted_means_against_loops(spark):
+    import statistics
+
+    values = [((i * 7919) % 101) / 7 + 1e6 for i in range(120)] + [5.0] * 30
+    df = spark.createDataFrame([(i, "k", v) for i, v in enumerate(values)] + [(i, "same", 3.0) for i in range(60)], "event_id long, key string, value double")
+    got = {(r.key, r.event_id): r.z for r in windows.z_scores(df, "value", ["key"], ["event_id"], 10, 40).collect()}
+    for i, v in enumerate(values):
+        past = values[max(0, i - 40) : i]
+        want = abs(v - statistics.fmean(past)) / statistics.stdev(past) if len(past) >= 10 else None
+        assert got["k", i] == (pytest.approx(want, rel=1e-4) if want is not None else None)
+    assert all(got["same", i] is None for i in range(60))
+    mean = values[0]
+    for v in values[1:]:
+        mean = 0.3 * v + 0.7 * mean
+    found = {r.key: r.ewma for r in windows.ewma(df, "value", "key", ["event_id"]).collect()}
+    assert found == {"k": pytest.approx(mean), "same": pytest.approx(3.0)}
+
+
+def test_events_at_night_of_a_day_worker(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, at + dt.timedelta(days=i, hours=9 + i % 6), "u") for i in range(60)] + [(99, at + dt.timedelta(days=70, hours=3), "u"), (98, at + dt.timedelta(days=71, hours=20), "u")]
+    df = spark.createDataFrame(rows, "event_id long, timestamp timestamp, source_ip string")
+    assert [r.event_id for r in anomaly.time_anomalies(df).collect()] == [99]
+
+
+def test_ready_patterns(spark):
+    lines = {
+        "ssh_failed_login": ("Mar  4 01:02:03 web7 sshd[911]: Failed password for invalid user guest from 203.0.113.9 port 50122 ssh2", {"source_user": "guest", "source_ip": "203.0.113.9", "source_port": "50122", "source_host": "web7"}),
+        "ssh_accepted_login": ("Mar 14 01:02:03 web7 sshd[911]: Accepted publickey for ann from 2001:db8::7 port 50122 ssh2", {"source_user": "ann", "source_ip": "2001:db8::7"}),
+        "sudo_command": ("Mar 14 01:02:03 web7 sudo:      ann : TTY=pts/3 ; PWD=/srv ; USER=root ; COMMAND=/bin/cat /etc/hosts ; x", {"source_user": "ann", "tty": "pts/3", "pwd": "/srv", "target_user": "root", "command_line": "/bin/cat /etc/hosts ; x"}),
+        "iptables_log": ("Mar 14 01:02:03 gw kernel: [88.1] DROP IN=eth0 OUT= SRC=203.0.113.9 DST=192.0.2.1 LEN=60 TTL=49 PROTO=TCP SPT=4431 DPT=22 WINDOW=1", {"source_ip": "203.0.113.9", "dest_ip": "192.0.2.1", "protocol": "TCP", "source_port": "4431", "dest_port": "22"}),
+    }
+    for name, (line, want) in lines.items():
+        row = spark.createDataFrame([(line,)], "raw string").select(*parsers.regex_columns(F.col("raw"), parsers.PRESETS[name])).first().asDict()
+        assert {k: row[k] for k in want} == want, name
