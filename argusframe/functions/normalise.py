@@ -29,7 +29,7 @@ RESULT = {
     "failure": "failure", "failed": "failure", "fail": "failure", "error": "error", "err": "error", "denied": "failure", "deny": "failure", "reject": "failure", "rejected": "failure",
     "blocked": "failure", "timeout": "error", "timed_out": "error", "pending": "pending", "in_progress": "pending", "unknown": "unknown", "none": "unknown",
 }
-#: In order: what the product or vendor names, what the action is, what the message says.
+# Words that tell the event type, in order of what the product or vendor names, what the action is, what the message says.
 PRODUCT_TYPE = (("sshd|login|pam", "authentication"), ("iptables|ufw|pf|firewalld", "firewall"), ("named|dnsmasq|unbound|bind", "dns"), ("httpd|nginx|apache", "web"),
                 ("clamd|freshclam|windows defender", "av_malware"), ("sudo", "authorization"), ("openvpn|strongswan", "vpn"), ("auditd", "audit"), ("postgresql|mysql", "database"))
 ACTION_TYPE = {

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.predicates import cidr_range, ip_number
+from ..operators.predicates import cidr6_digits, cidr_range, ip6_digits, ip_number
 
 _SECONDS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 # Address ranges that count as internal.
@@ -85,8 +85,11 @@ def is_internal(ip: Column) -> Column:
 def ip_class(ip: Column) -> Column:
     n = ip_number(ip)
     within = lambda b: n.between(*cidr_range(b))
+    six = ip6_digits(ip)
+    within6 = lambda b: six.between(*map(F.lit, cidr6_digits(b)))
+    class6 = F.when(within6("::1/128"), "loopback").when(within6("fe80::/10"), "link_local").when(within6("ff00::/8"), "multicast").when(within6("fc00::/7"), "private").otherwise("public")
     return (
-        F.when(n.isNull(), "invalid").when(within("127.0.0.0/8"), "loopback").when(within("169.254.0.0/16"), "link_local").when(within("224.0.0.0/4"), "multicast")
+        F.when(n.isNull() & six.isNotNull(), class6).when(n.isNull(), "invalid").when(within("127.0.0.0/8"), "loopback").when(within("169.254.0.0/16"), "link_local").when(within("224.0.0.0/4"), "multicast")
         .when(within("10.0.0.0/8") | within("172.16.0.0/12") | within("192.168.0.0/16"), "private").when(within("240.0.0.0/4"), "reserved").otherwise("public")
     )
 

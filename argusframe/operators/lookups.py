@@ -23,6 +23,7 @@ INDICATORS = [
     *(("ip", v, "tor_project", "medium", 0.7, "tor,anonymizer") for v in TOR), *(("ip", v, "internal_research", "high", 0.85, "malicious,scanner,brute_force") for v in MALICIOUS),
     *(("domain", v, "internal_research", "high", 0.8, "c2,malware,phishing") for v in DOMAINS), *(("cidr", v, "internal_research", "medium", 0.7, "botnet") for v in CIDRS),
 ]
+# Ranks, reputations and boosts by severity.
 SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 REPUTATION = {"critical": 10, "high": 25, "medium": 45, "low": 60}
 BOOST = {"critical": 50, "high": 30, "medium": 15, "low": 5}

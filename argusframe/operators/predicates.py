@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 from functools import reduce
 
@@ -33,7 +34,28 @@ def cidr_range(cidr: str) -> tuple[int, int]:
     return low, low + size - 1
 
 
+def ip6_digits(ip: Column) -> Column:
+    """An IPv6 address as its 32 hexadecimal digits, which sort as the addresses do; null if it is none. Embedded IPv4 is not read."""
+    sides = F.split(F.lower(ip), "::")
+    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+    left, right = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    lacking = F.lit(8) - F.size(left) - F.size(right)
+    whole = F.when(F.size(sides) == 1, lacking == 0).otherwise((F.size(sides) == 2) & (lacking > 0))
+    plain = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    padded = lambda side: F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(whole & plain, F.concat(padded(left), F.repeat(F.lit("0000"), F.greatest(lacking, F.lit(0))), padded(right)))
+
+
+def cidr6_digits(cidr: str) -> tuple[str, str]:
+    """First and last address of an IPv6 block, as digits."""
+    block = ipaddress.IPv6Network(cidr, strict=False)
+    return f"{int(block[0]):032x}", f"{int(block[-1]):032x}"
+
+
 def in_cidr(ip: Column, cidr: str) -> Column:
+    """Whether an address lies in a block of its own kind."""
+    if ":" in cidr:
+        return _sure(ip6_digits(ip).between(*map(F.lit, cidr6_digits(cidr))))
     return _sure(ip_number(ip).between(*cidr_range(cidr)))
 
 

@@ -15,7 +15,8 @@ def test_query_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() >= 0
+    rows = QUERIES[name](spark, SMALL).collect()
+    assert rows or name == "t03_shipped_rules"  # on so few events no shipped rule reaches its threshold
 
 
 def test_entry(spark):

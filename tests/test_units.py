@@ -103,7 +103,7 @@ def test_durations(text, seconds):
     assert scalars.duration_seconds(text) == seconds
 
 
-@pytest.mark.parametrize(("ip", "kind"), [("192.168.1.1", "private"), ("8.8.8.8", "public"), ("127.0.0.1", "loopback"), ("not-an-ip", "invalid")])
+@pytest.mark.parametrize(("ip", "kind"), [("192.168.1.1", "private"), ("8.8.8.8", "public"), ("127.0.0.1", "loopback"), ("not-an-ip", "invalid"), ("2001:db8::1", "public"), ("::1", "loopback"), ("fe80::1:2", "link_local"), ("fd00::9", "private"), ("1:2::3::4", "invalid"), (":::", "invalid"), ("12345::", "invalid")])
 def test_ip_class(spark, ip, kind):
     assert one(spark, scalars.ip_class(F.lit(ip))) == kind
 
@@ -183,3 +183,20 @@ def test_ready_patterns(spark):
     for name, (line, want) in lines.items():
         row = spark.createDataFrame([(line,)], "raw string").select(*parsers.regex_columns(F.col("raw"), parsers.PRESETS[name])).first().asDict()
         assert {k: row[k] for k in want} == want, name
+
+
+def test_blocks_of_both_kinds(spark):
+    """Against Python's ipaddress."""
+    import ipaddress
+
+    ips = ["2001:db8::1", "2001:DB8:0:0:0:0:0:ffff", "2001:db9::", "::", "::1", "fe80::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "10.1.2.3", "11.0.0.1", "x", None]
+    df = spark.createDataFrame([(i,) for i in ips], "ip string")
+    for cidr in ("2001:db8::/32", "::/0", "fe80::/10", "10.0.0.0/8", "1:2:3:4:5:6:7:8/128"):
+
+        def inside(ip, block=ipaddress.ip_network(cidr)):
+            try:
+                return ipaddress.ip_address(ip or "") in block
+            except ValueError:
+                return False
+
+        assert [r.x for r in df.select(predicate("ip", "cidr", cidr).alias("x")).collect()] == [inside(i) for i in ips], cidr
