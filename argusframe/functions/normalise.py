@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lookups import mapped, port_service
-from ..operators.predicates import ip_number
-from .scalars import internal_number, parse_time
+from ..operators.predicates import ip6_digits, ip_number
+from .scalars import internal_digits, internal_number, parse_time
 
 # Names of severities, actions and results, and the canonical one of each.
 SEVERITY = {
@@ -88,10 +88,11 @@ def normalised(df: DataFrame, now: Column | None = None) -> DataFrame:
     now = now if now is not None else F.current_timestamp()
     at = parse_time(have("timestamp"))
     # numbers are columns of their own, so that they are computed once a row
-    df = df.withColumns({f"_{s}_number": ip_number(F.trim(have(f"{s}_ip"))) for s in ("source", "dest")})
-    number = {s: F.col(f"_{s}_number") for s in ("source", "dest")}
-    ip = {s: F.when(number[s].isNotNull(), F.trim(have(f"{s}_ip"))) for s in number}
-    inside = {s: F.when(number[s].isNotNull(), internal_number(number[s])) for s in number}
+    address = {s: F.trim(have(f"{s}_ip")) for s in ("source", "dest")}
+    df = df.withColumns({f"_{s}_number": ip_number(a) for s, a in address.items()} | {f"_{s}_digits": F.when(F.contains(a, F.lit(":")), ip6_digits(a)) for s, a in address.items()})
+    number, six = ({s: F.col(f"_{s}_{n}") for s in address} for n in ("number", "digits"))
+    ip = {s: F.when(number[s].isNotNull() | six[s].isNotNull(), address[s]) for s in number}
+    inside = {s: F.when(number[s].isNotNull(), internal_number(number[s])).when(six[s].isNotNull(), internal_digits(six[s])) for s in number}
     host = {s: F.coalesce(have(f"{s}_host"), F.when(ip[s].isNull(), F.trim(have(f"{s}_ip")))) for s in ip}
     ports = {s: port(have(f"{s}_port")) for s in ip}
     act = action(have("action"))

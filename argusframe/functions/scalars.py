@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,8 +79,13 @@ def internal_number(n: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def internal_digits(six: Column) -> Column:
+    """Whether an IPv6 address, as digits, is local: of the host, the link or the site."""
+    return F.coalesce(reduce(lambda a, b: a | b, (six.between(*map(F.lit, cidr6_digits(b))) for b in ("::1/128", "fe80::/10", "fc00::/7"))), F.lit(False))
+
+
 def is_internal(ip: Column) -> Column:
-    return internal_number(ip_number(ip))
+    return internal_number(ip_number(ip)) | internal_digits(ip6_digits(ip))
 
 
 def ip_class(ip: Column) -> Column:

@@ -200,3 +200,11 @@ def test_blocks_of_both_kinds(spark):
                 return False
 
         assert [r.x for r in df.select(predicate("ip", "cidr", cidr).alias("x")).collect()] == [inside(i) for i in ips], cidr
+
+
+def test_normalise_keeps_ipv6_addresses(spark):
+    df = spark.createDataFrame([("2001:db8::7", "fd00::1"), ("gw-1", "::1")], "source_ip string, dest_ip string")
+    one, two = normalise.normalised(df).collect()
+    assert (one.source_ip, one.source_host, one.source_is_internal, one.dest_is_internal) == ("2001:db8::7", None, False, True)
+    assert (two.source_ip, two.source_host, two.dest_ip, two.dest_is_internal) == (None, "gw-1", "::1", True)
+    assert [r.x for r in df.select(scalars.is_internal(F.col("dest_ip")).alias("x")).collect()] == [True, True]
