@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lookups import mapped, port_service
-from ..operators.predicates import ip6_digits, ip_number
+from ..operators.predicates import address_digits, ip6_digits, ip_number
 from .scalars import internal_digits, internal_number, parse_time
 
 # Names of severities, actions and results, and the canonical one of each.
@@ -82,8 +82,8 @@ def cleaned(c: Column) -> Column:
     return F.when(~bare.isin("-", "null", "NULL", "nil", "N/A", ""), bare)
 
 
-def normalised(df: DataFrame, now: Column | None = None) -> DataFrame:
-    """Parsed fields (all strings, missing ones allowed) to canonical columns; invalid times become `now` and are tagged."""
+def normalised(df: DataFrame, now: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed fields (all strings, missing ones allowed) to canonical columns; invalid times become `now` and are tagged. keep: further columns that stay as they are."""
     have = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")
     now = now if now is not None else F.current_timestamp()
     at = parse_time(have("timestamp"))
@@ -102,7 +102,7 @@ def normalised(df: DataFrame, now: Column | None = None) -> DataFrame:
         F.coalesce(F.when(have("event_type") != "unknown", have("event_type")), event_type(have("product"), have("vendor"), act, have("message"), F.coalesce(ports["source"], ports["dest"]))).alias("event_type"),
         *(x for s in ip for x in (ip[s].alias(f"{s}_ip"), host[s].alias(f"{s}_host"), ports[s].alias(f"{s}_port"), inside[s].alias(f"{s}_is_internal"))),
         direction(inside["source"], inside["dest"], ip["source"].isNotNull() | ip["dest"].isNotNull()).alias("direction"), F.coalesce(have("category"), port_service(ports["dest"])).alias("category"),
-        F.coalesce(have("vendor"), F.lit("unknown")).alias("vendor"), F.coalesce(have("product"), F.lit("unknown")).alias("product"), F.coalesce(have("message"), act, F.lit("Event")).alias("message"), have("source_user").alias("source_user"),
+        F.coalesce(have("vendor"), F.lit("unknown")).alias("vendor"), F.coalesce(have("product"), F.lit("unknown")).alias("product"), F.coalesce(have("message"), act, F.lit("Event")).alias("message"), have("source_user").alias("source_user"), *keep,
     )
 
 
@@ -111,9 +111,60 @@ def event_hash(fields: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *(F.col(f).cast("string") for f in fields)), 256)
 
 
+# Severities of CEF records, and their keys by column, in order.
+CEF_SEVERITY = {"emergency": 10, "alert": 9, "critical": 8, "error": 7, "warning": 5, "notice": 3, "info": 1, "debug": 0}
+CEF_KEYS = {"src": "source_ip", "spt": "source_port", "dst": "dest_ip", "dpt": "dest_port", "act": "action", "proto": "protocol", "suser": "source_user", "duser": "dest_user", "msg": "message", "rt": "timestamp"}
+
+
+def _text_of(df: DataFrame):
+    """A function of a column's name that gives it as text, and null if df lacks it or it is empty."""
+    return lambda name: F.nullif(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit(None).cast("string")
+
+
 def as_cef(df: DataFrame) -> Column:
-    text = lambda c, d="": F.coalesce(F.col(c).cast("string"), F.lit(d)) if c in df.columns else F.lit(d)
-    return F.concat(F.lit("CEF:0|"), text("vendor", "unknown"), F.lit("|"), text("product"), F.lit("|1.0|"), text("event_type"), F.lit("|"), text("action"), F.lit("|5|src="), text("source_ip"), F.lit(" dst="), text("dest_ip"))
+    """Events as CEF records; times as milliseconds. Signs that part fields are escaped, so that a parser gives the same values."""
+    text = _text_of(df)
+    head = lambda c, d: F.regexp_replace(F.coalesce(c, F.lit(d)), r"([|\\\\])", r"\\$1")
+    value = lambda f: F.unix_millis(F.col(f).cast("timestamp")).cast("string") if f == "timestamp" and f in df.columns else text(f)
+    pairs = F.concat_ws(" ", *(F.concat(F.lit(f"{k}="), value(f)) for k, f in CEF_KEYS.items()))
+    severity = F.coalesce(mapped(CEF_SEVERITY, text("severity")), F.lit(1)).cast("string")
+    return F.concat_ws("|", F.lit("CEF:0"), head(text("vendor"), "unknown"), head(text("product"), "Generic"), F.lit("1.0"), head(text("rule_id"), "0"), head(F.coalesce(text("message"), text("action")), "Event"), severity, pairs)
+
+
+def as_syslog(df: DataFrame) -> Column:
+    """Events as lines of time, host, facility, severity and message."""
+    text = _text_of(df)
+    at = F.date_format(F.coalesce(*([F.col("timestamp").cast("timestamp")] if "timestamp" in df.columns else []), F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    host = F.coalesce(text("source_host"), text("source_ip"), F.lit("unknown"))
+    return F.concat(at, F.lit(" "), host, F.lit(" "), F.coalesce(text("facility"), F.lit("local0")), F.lit("["), F.coalesce(text("severity"), F.lit("info")), F.lit("]: "), F.coalesce(text("message"), text("action"), F.lit("event")))
+
+
+def as_summary(df: DataFrame) -> Column:
+    """Events in a few words: time, addresses, action, result and the first 50 signs of the message; what is missing is left out."""
+    text = _text_of(df)
+    around = lambda a, c, b: F.concat(F.lit(a), c, F.lit(b))
+    return F.concat_ws(" ", text("timestamp"), text("source_ip"), around("->", text("dest_ip"), ""), text("action"), around("[", text("result"), "]"), around('"', F.substring(text("message"), 1, 50), '"'))
+
+
+def errors(df: DataFrame, needed: tuple[str, ...] = ("event_id", "timestamp", "source_log")) -> Column:
+    """What is wrong with each event, as an array, empty if nothing is: missing columns, and addresses that are none (- stands for no address)."""
+    text = _text_of(df)
+    missing = [F.when(text(c).isNull(), F.lit(f"Missing {c}")) for c in needed]
+    bad = [F.when((text(c) != "-") & address_digits(text(c)).isNull(), F.concat(F.lit(f"Invalid {c}: "), text(c))) for c in ("source_ip", "dest_ip")]
+    return F.array_compact(F.array(*missing, *bad))
+
+
+def tagged(tags: Column, add: Column) -> Column:
+    """Tags with those of add that are not among them yet, in order; no tags are an empty list."""
+    return F.array_union(F.coalesce(tags, F.array().cast("array<string>")), F.coalesce(add, F.array().cast("array<string>")))
+
+
+def untagged(tags: Column, remove: Column) -> Column:
+    return F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: ~F.array_contains(F.coalesce(remove, F.array().cast("array<string>")), t))
+
+
+def has_tag(tags: Column, tag: str) -> Column:
+    return F.coalesce(F.array_contains(tags, tag), F.lit(False))
 
 
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .predicates import ip_number
+from .predicates import address_digits, block_digits, ip_number
 from .windows import rolling_count
 
 # The built-in indicators.
@@ -39,8 +39,14 @@ PORT_CATEGORY = {
 SENSITIVE_PORTS = (22, 23, 445, 3389, 1433, 3306, 5432, 5900)
 
 
+def _literal(x: str | int | float) -> str:
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return quoted(x) if isinstance(x, str) else f"{x!r}D" if isinstance(x, float) else repr(x)
+
+
 def mapped(values: dict, c: Column) -> Column:
-    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[c]
+    """The value of a key of a fixed table. The table is one expression, since one call for each entry takes long on the driver."""
+    return F.expr(f"map({', '.join(_literal(x) for kv in values.items() for x in kv)})")[c]
 
 
 def indicators(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
@@ -67,18 +73,19 @@ def match_indicators(events: DataFrame, iocs: DataFrame, key: str = "event_id",
             values = _suffixes(F.col(f)) if kind == "domain" else F.array(F.lower(f))
             pairs.append(_tagged(kind, f, values))
     exact = events.select(key, F.inline(F.flatten(F.array(*pairs)))).join(iocs, ["type", "value"])
-    blocks = iocs.where(F.col("type") == "cidr")
-    bits = F.coalesce(F.element_at(F.split("value", "/"), 2).try_cast("int"), F.lit(32))
-    blocks = blocks.withColumn("bits", bits).withColumn("net", F.floor(ip_number(F.element_at(F.split("value", "/"), 1)) / F.pow(F.lit(2.0), 32 - bits)).cast("long"))
-    sizes = blocks.select("bits").distinct()
-    addresses = F.array_compact(F.array(*(F.when(ip_number(F.col(f)).isNotNull(), F.struct(F.lit(f).alias("field"), ip_number(F.col(f)).alias("n"))) for f in LOOKED_UP["ip"] if f in events.columns)))
-    prefixes = [r.bits for r in sizes.collect()]  # 33 at most
-    by_net = events.select(key, F.inline(addresses)).select(key, "field", "n", F.explode(F.array(*(F.lit(b) for b in prefixes)).cast("array<int>")).alias("bits"))
-    by_net = by_net.withColumn("net", F.floor(F.col("n") / F.pow(F.lit(2.0), 32 - F.col("bits"))).cast("long")).join(blocks, ["bits", "net"])
+    blocks = iocs.where(F.col("type") == "cidr").withColumn("digits", F.explode(block_digits(F.col("value"))))
+    lengths = sorted(r.n for r in blocks.select(F.length("digits").alias("n")).distinct().collect())  # 33 at most
+    addresses = F.array_compact(F.array(*(F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), address_digits(F.col(f)).alias("whole"))) for f in LOOKED_UP["ip"] if f in events.columns)))
+    by_net = events.select(key, F.inline(addresses)).where("whole IS NOT NULL").select(key, "field", F.explode(_beginnings(F.col("whole"), lengths)).alias("digits")).join(blocks, "digits")
     columns = [key, "type", "value", "field", "source", "severity", "confidence", "tags"]
     return exact.select(*columns).unionByName(by_net.select(*columns))
 
 
+def _beginnings(digits: Column, lengths: list[int]) -> Column:
+    """The beginnings of the given lengths, as far as the digits reach."""
+    return F.array_distinct(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: F.substr(digits, F.lit(1), n)))
+
+
 def _tagged(kind: str, name: str, values: Column) -> Column:
     return F.coalesce(F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(name).alias("field"))), F.array().cast("array<struct<type:string,value:string,field:string>>"))
 
@@ -130,13 +137,30 @@ def port_service(port: Column) -> Column:
 
 
 def range_lookup(events: DataFrame, ranges: DataFrame, ip: str, key: str = "event_id") -> DataFrame:
-    """Joins addresses with non-overlapping ranges lo..hi: the last range that starts at or before each, found by one ordered pass in each /8."""
-    ranges = ranges.withColumn("slash8", F.explode(F.sequence(F.shiftright("lo", 24), F.shiftright("hi", 24))))
-    points = events.select(key, ip_number(F.col(ip)).alias("n")).where("n IS NOT NULL")
-    both = points.select(F.shiftright("n", 24).alias("slash8"), F.col("n").alias("at"), F.lit(1).alias("is_point"), key, F.lit(None).cast(ranges.select(F.struct(*[c for c in ranges.columns if c != "slash8"])).schema[0].dataType).alias("r"))
-    starts = ranges.select("slash8", F.greatest(F.col("lo"), F.shiftleft("slash8", 24)).alias("at"), F.lit(0).alias("is_point"), F.lit(None).cast(both.schema[key].dataType).alias(key), F.struct(*[c for c in ranges.columns if c != "slash8"]).alias("r"))
-    last = F.last("r", ignorenulls=True).over(Window.partitionBy("slash8").orderBy("at", "is_point"))
-    return both.unionByName(starts).withColumn("r", last).where((F.col("is_point") == 1) & (F.col("r.hi") >= F.col("at"))).select(key, "r.*")
+    """Joins IPv4 addresses with ranges lo..hi of numbers: each address with the narrowest range that holds it, of equal ones the first by its columns.
+
+    A range becomes the blocks of addresses with a common beginning of their hexadecimal digits that fill it (some 30 for each of
+    eight lengths at most), and each distinct address the nine beginnings of its digits: an equi-join, whatever ranges overlap.
+    """
+    columns = ranges.columns
+    lo, end = F.col("lo"), F.col("hi") + 1
+
+    def filled(n: int) -> Column:
+        """Blocks of n digits within the range that lie in no such block of n - 1 digits."""
+        size, wider = 16 ** (8 - n), 16 ** (9 - n)
+        first, last = F.ceil(lo / size).cast("long"), F.floor(end / size).cast("long") - 1
+        outer_first, outer_last = F.ceil(lo / wider).cast("long"), F.floor(end / wider).cast("long") - 1
+        run = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<long>"))
+        if n == 0:
+            return F.when(first <= last, F.array(F.lit("4"))).otherwise(F.array().cast("array<string>"))
+        inside = F.when(outer_first <= outer_last, F.concat(run(first, outer_first * 16 - 1), run(outer_last * 16 + 16, last))).otherwise(run(first, last))
+        return F.transform(inside, lambda x: F.concat(F.lit("4"), F.lower(F.lpad(F.hex(x), n, "0"))))
+
+    blocks = ranges.select(F.struct(*columns).alias("r"), F.explode(F.concat(*map(filled, range(9)))).alias("digits"))
+    points = events.select(key, ip_number(F.col(ip)).alias("_n")).where("_n IS NOT NULL")
+    each = points.select("_n").distinct().withColumn("digits", F.explode(_beginnings(F.concat(F.lit("4"), F.lower(F.lpad(F.hex("_n"), 8, "0"))), list(range(1, 10)))))
+    narrowest = each.join(blocks, "digits").groupBy("_n").agg(F.min(F.struct((F.col("r.hi") - F.col("r.lo")).alias("width"), "r")).alias("best"))
+    return points.join(narrowest, "_n").select(key, "best.r.*")
 
 
 def sequence_join(events: DataFrame, first: Column, then: Column, by: str, seconds: int, key: str = "event_id") -> DataFrame:

@@ -52,6 +52,24 @@ def cidr6_digits(cidr: str) -> tuple[str, str]:
     return f"{int(block[0]):032x}", f"{int(block[-1]):032x}"
 
 
+def address_digits(ip: Column) -> Column:
+    """The kind of an address, 4 or 6, and its hexadecimal digits; null if it is none."""
+    n = ip_number(ip)
+    return F.coalesce(F.when(n.isNotNull(), F.concat(F.lit("4"), F.lower(F.lpad(F.hex(n), 8, "0")))), F.concat(F.lit("6"), ip6_digits(ip)))
+
+
+def block_digits(cidr: Column) -> Column:
+    """The beginnings that the digits of a block's addresses have, as address_digits gives them: eight at most; null if it is no block."""
+    digits = address_digits(F.substring_index(cidr, "/", 1))
+    most = F.when(digits.startswith("4"), 32).otherwise(128)
+    bits = F.when(cidr.contains("/"), F.substring_index(cidr, "/", -1).try_cast("int")).otherwise(most)
+    whole = F.ceil(bits / 4).cast("int")
+    wide = F.pow(F.lit(2), whole * 4 - bits).cast("int")
+    last = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    ends = F.transform(F.sequence(F.lit(0), wide - 1), lambda i: F.concat(F.substr(digits, F.lit(1), whole), F.lower(F.hex(last - last % wide + i))))
+    return F.when(digits.isNotNull() & bits.between(0, most), F.when(whole == 0, F.array(F.substr(digits, F.lit(1), F.lit(1)))).otherwise(ends))
+
+
 def in_cidr(ip: Column, cidr: str) -> Column:
     """Whether an address lies in a block of its own kind."""
     if ":" in cidr:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_analytics, queries_formats, queries_search, queries_text
+from . import queries_analytics, queries_engine, queries_formats, queries_search, queries_text
 
-_PARTS = (queries_search, queries_analytics, queries_text, queries_formats)
+_PARTS = (queries_search, queries_analytics, queries_text, queries_formats, queries_engine)
 
 
 def queries() -> dict:
