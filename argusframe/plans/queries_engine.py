@@ -48,7 +48,7 @@ def _rendered(name, render, given, sql):
 
 
 _rendered("n14_cef_records", normalise.as_cef, lambda: {"vendor": F.lit("a|b")},
-     r""" SELECT event_id, concat('CEF:0|a\|b|', product, '|1.0|0|', message, '|', CASE severity WHEN 'critical' THEN 8 ELSE 1 END, '|', concat_ws(' ', concat('src=', source_ip), concat('spt=', source_port), 'dst=' || dest_ip, 'dpt=' || dest_port, concat('act=', action), concat('suser=', source_user), concat('msg=', message), concat('rt=', epoch_ms(timestamp)))) AS line FROM canon""")
+     r""" SELECT event_id, concat('CEF:0|a\|b|', product, '|1.0|0|', message, '|', CASE severity WHEN 'critical' THEN 8 ELSE 1 END, '|', concat_ws(' ', concat('src=', source_ip), concat('spt=', source_port), 'dst=' || dest_ip, 'dpt=' || dest_port, concat('act=', action), concat('suser=', source_user), concat('msg=', message), concat('rt=', epoch_us(timestamp) // 1000))) AS line FROM canon""")
 _rendered("n14_syslog_lines", normalise.as_syslog, lambda: {"timestamp": F.lit("2024-01-15 10:30:00").cast("timestamp")}, " SELECT event_id, concat('2024-01-15T10:30:00Z ', source_ip, ' local0[', severity, ']: ', message) AS line FROM canon")
 _rendered("n14_summary", normalise.as_summary, lambda: {"timestamp": F.lit(None).cast("timestamp")}, """ SELECT event_id, concat_ws(' ', source_ip, '->' || dest_ip, action, '[' || result || ']', concat('"', substr(message, 1, 50), '"')) AS line FROM canon""")
 _add("n14_round_trip", lambda df: parsers.parsed((lambda d: d.select("event_id", normalise.as_cef(d).alias("raw")))(df.withColumn("product", F.concat("product", F.lit("|\\"))))).select("event_id", "format", *(F.col("fields")[f].alias(f) for f in ("product", "source_ip", "dest_ip", "action", "source_user"))),

@@ -208,3 +208,34 @@ def test_normalise_keeps_ipv6_addresses(spark):
     assert (one.source_ip, one.source_host, one.source_is_internal, one.dest_is_internal) == ("2001:db8::7", None, False, True)
     assert (two.source_ip, two.source_host, two.dest_ip, two.dest_is_internal) == (None, "gw-1", "::1", True)
     assert [r.x for r in df.select(scalars.is_internal(F.col("dest_ip")).alias("x")).collect()] == [True, True]
+
+
+@pytest.mark.parametrize(
+    ("line", "fields"),
+    [
+        ('{"a":{"b":{"c":1}},"e":["p","q"],"User":"u1","username":"u2","action":"Login"}', {"a.b.c": "1", "e": "p,q", "source_user": '["u1","u2"]', "event_type": "authentication"}),
+        ("{}", {"message": "{}", "event_type": "unknown"}),
+        ('<165>1 2024-01-15T10:30:00Z h app 1 ID [a@1 src="1.2.3.4" q="say \\"x\\" ]y"][exampleSDID k="v"] hello', {"a.q": 'say "x" ]y', "source_ip": "1.2.3.4", "k": "v", "message": "hello"}),
+        ('<34>Oct 11 22:14:15 h fw: DENY src=1.1.1.1 action="drop it" src=9.9.9.9', {"source_ip": "1.1.1.1", "action": "drop it", "event_type": "firewall"}),
+        ("<34>odd", {"message": "odd", "severity": "critical"}),
+        ("LEEF:2.0|V|P|1|77|^|src=1.1.1.1^dst=2.2.2.2", {"dest_ip": "2.2.2.2", "message": "V P: Event 77", "severity": "info"}),
+        ("CEF:0|A|B|1|2|malware found|9|fname=x.exe cs1=a b", {"event_type": "av_malware", "file_name": "x.exe", "custom_string_1": "a b"}),
+    ],
+)
+def test_fields_of_odd_lines(spark, line, fields):
+    assert fields.items() <= parse(spark, line)[1].items()
+
+
+def test_grok_names_others_to_any_depth(spark):
+    row = spark.createDataFrame([("Oct 11 22:14:15 h1 su[5]: x",)], "raw string").select(*parsers.grok_columns(F.col("raw"), "%{SYSLOGTIMESTAMP:at} %{SYSLOGHOST:host} %{SYSLOGPROG:prog}: %{GREEDYDATA:text}")).first()
+    assert tuple(row) == ("Oct 11 22:14:15", "h1", "su[5]", "x")
+    with pytest.raises(ValueError, match="not known"):
+        parsers.grok("%{NOSUCH:x}")
+
+
+def test_engine_without_lines_or_rules(spark):
+    from argusframe import engine
+
+    made = engine.process(spark.createDataFrame([(1, None), (2, "")], "event_id long, raw string"), [])
+    assert sorted(r.event_id for r in made.events.collect()) == [1, 2]
+    assert made.alerts.count() == made.correlated.count() == 0
