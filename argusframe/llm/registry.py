@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import queries_conversations as conversations
 from . import queries_corpus as corpus
 from . import queries_dedup as dedup
 from . import queries_pages as pages
@@ -29,8 +30,11 @@ def queries() -> dict:
         "op8_quality": corpus.op8_quality,
         "op9_html": pages.op9_html,
         "op10_secrets": scan.op10_secrets,
+        "op13_prefix_trie": conversations.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": dedup.OP1_SQL, "op4_licences": privacy.OP4_SQL, "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL}
+    return {
+        "op1_exact_dedup": dedup.OP1_SQL, "op4_licences": privacy.OP4_SQL, "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL, "op13_prefix_trie": conversations.OP13_SQL,
+    }
