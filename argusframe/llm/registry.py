@@ -9,6 +9,7 @@ from . import queries_pages as pages
 from . import queries_privacy as privacy
 from . import queries_scan as scan
 from . import queries_tokens as tokens
+from . import queries_vectors as vectors
 
 
 def _pipeline(spark, sf_dir):
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op8_quality": corpus.op8_quality,
         "op9_html": pages.op9_html,
         "op10_secrets": scan.op10_secrets,
+        "op11_whitening": vectors.op11_whitening,
         "op13_prefix_trie": conversations.op13_prefix_trie,
     }
 
