@@ -129,6 +129,7 @@ def eigen(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for _ in range(STEPS):
         r = np.eye(len(cov), dtype=np.longdouble) - x.T @ x
         s = x.T @ cov @ x
+        r, s = (r + r.T) / 2, (s + s.T) / 2  # else rounding over a small gap would cost orthogonality
         values = np.diag(s) / (1 - np.diag(r))
         apart = values[None, :] - values[:, None]
         near = np.abs(apart) <= 1e-12 * max(np.abs(values).max(), np.finfo(float).tiny)
