@@ -32,11 +32,13 @@ def queries() -> dict:
         "op9_html": pages.op9_html,
         "op10_secrets": scan.op10_secrets,
         "op11_whitening": vectors.op11_whitening,
+        "op12_suffix_dedup": dedup.op12_suffix_dedup,
         "op13_prefix_trie": conversations.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_exact_dedup": dedup.OP1_SQL, "op4_licences": privacy.OP4_SQL, "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL, "op13_prefix_trie": conversations.OP13_SQL,
+        "op1_exact_dedup": dedup.OP1_SQL, "op4_licences": privacy.OP4_SQL, "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL, "op12_suffix_dedup": dedup.OP12_SQL,
+        "op13_prefix_trie": conversations.OP13_SQL,
     }
