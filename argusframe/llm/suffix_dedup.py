@@ -361,7 +361,7 @@ def _split(contexts: DataFrame, length: int, hot_bucket: int, hot_rows: int) ->
         nodes = saved(nodes.withColumn("gram", F.xxhash64("a", "b", F.expr(f"substring(bytes, b + 1, a + {length} - b)"))), "suffix_nodes")
         sizes = saved(nodes.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most"), F.max(F.col("b") - F.col("a")).alias("wide")).where("least < most"), "suffix_sizes")
         single = met(nodes.where("a = b"), sizes.where("wide = 0").select("gram", "least", "n"), "gram", hot_rows).where("doc > least")
-        done.append(single.select("chunk", "place", F.shiftleft(F.lit(1).cast("long"), F.col("a")).alias("bits")))
+        done.append(single.select("chunk", "place", F.expr("shiftleft(1L, a)").alias("bits")))
         small, large = sizes.where((F.col("wide") > 0) & (F.col("n") <= hot_bucket)), sizes.where((F.col("wide") > 0) & (F.col("n") > hot_bucket))
         cut = {"low": F.greatest("low", "a"), "high": F.least("high", "b")}
         done.append(_refined(nodes.join(small.select("gram"), "gram", "left_semi").withColumns(cut).drop("a", "b"), length))
