@@ -56,9 +56,9 @@ def _encoder(bits: int, owners: int):
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """What an owner answers: for each sender, a bit for each fingerprint that it sent."""
     sent = [rice_decode(x) for x in rows.blob]
-    values, count = np.unique(np.concatenate(sent), return_counts=True)
-    twice = values[count > 1]
-    return pd.DataFrame({"bucket": rows.bucket, "owner": rows.owner, "bitmap": [np.packbits(np.isin(x, twice)).tobytes() for x in sent]})
+    _, index, count = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+    parts = np.split((count > 1)[index], np.cumsum([len(x) for x in sent])[:-1])
+    return pd.DataFrame({"bucket": rows.bucket, "owner": rows.owner, "bitmap": [np.packbits(x).tobytes() for x in parts]})
 
 
 def _marker(bits: int, owners: int):

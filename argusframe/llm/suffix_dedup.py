@@ -111,6 +111,10 @@ class Texts:
     def grams(self, at: np.ndarray | slice) -> np.ndarray:
         return _hashed(self.words, at, _cover(0, GRAM), _FACTORS[3])
 
+    def buckets(self, at: np.ndarray) -> np.ndarray:
+        """Grams as numbers that are spread evenly, which the hashes of anchors, being the smallest, are not."""
+        return _mixed(self.grams(at) * _FACTORS[1] + _FACTORS[2])
+
     def anchors(self) -> np.ndarray:
         """Places whose gram has the smallest hash of all grams in some window, ties included."""
         w, n = self.wide, len(self.buf)
@@ -183,7 +187,7 @@ def _sender(length: int, bits: int, owners: int):
         for rows in batches:
             for row in rows.itertuples(index=False):
                 held, _, at = _opened(row, length)
-                values = np.unique(head(held.grams(at).view(np.int64)))
+                values = np.unique(head(held.buckets(at).view(np.int64)))
                 who, start = np.unique(owner_of(values), return_index=True)
                 if len(values):
                     yield pd.DataFrame({"bucket": row.chunk, "owner": who, "blob": [rice_encode(x) for x in np.split(values, start[1:])]})
@@ -199,7 +203,7 @@ class Local:
 
     def __init__(self, row, length: int, head, owner_of):
         self.texts, ids, self.at = _opened(row, length)
-        gram = self.texts.grams(self.at)
+        gram = self.texts.buckets(self.at)
         doc, before, after = self.texts.reach(self.at)
         values, index = np.unique(head(gram.view(np.int64)), return_inverse=True)
         who, start = np.unique(owner_of(values), return_index=True)
@@ -280,7 +284,7 @@ def _contexts(length: int):
                     part = place[k : k + REFINED]
                     doc, before, after = held.reach(at[part])
                     yield pd.DataFrame({
-                        "gram": held.grams(at[part]).view(np.int64), "doc": ids[doc], "chunk": row.chunk, "place": part,
+                        "gram": held.buckets(at[part]).view(np.int64), "doc": ids[doc], "chunk": row.chunk, "place": part,
                         "low": (held.wide - 1 - before).astype(np.int32), "high": after.astype(np.int32), "bytes": [x.tobytes() for x in held.contexts(at[part])],
                     })
 
@@ -434,7 +438,9 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), text_of(text_column).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = rows.mapInPandas(_chunker(length), "docs binary, lens binary, text binary, anchors binary, n long").withColumn("chunk", F.monotonically_increasing_id())
-    chunks = saved_bucketed(chunks, "suffix_chunks", max(2 * parallel, math.ceil(size / IN_BUCKET)), "chunk")
+    # with fewer buckets than Spark has partitions for a shuffle, a join would shuffle the texts
+    buckets = max(2 * parallel, math.ceil(size / IN_BUCKET), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / CHUNK)))
+    chunks = saved_bucketed(chunks, "suffix_chunks", buckets, "chunk")
     n = chunks.agg(F.sum("n")).first()[0] or 0
     owners, bits = max(2 * parallel, math.ceil(n / OWNED)), min(63, 16 + max(1, n).bit_length())
     opened = ["chunk", "docs", "lens", "text", "anchors"]
