@@ -1 +1,7 @@
-"""Security-event analytics as PySpark DataFrame, SQL and Structured Streaming programs."""
+"""Security-event analytics on PySpark. Functions that run in Python workers travel by value, so executors need no copy of the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import normalise
 from .operators import correlate, lookups, risk
 from .operators.rules import Rule, detect
-from .plans.canonical import shared_base
+from .shared import saved
 from .sources.parsers import parsed
 
 #: Parsed fields that are normalised, and further ones that stay under their names; of these, the ones that are numbers.
@@ -50,9 +49,7 @@ def process(raw: DataFrame, rules: list[Rule], iocs: DataFrame | None = None, as
     """
     known = {"tags", "direction", "source_is_internal", "dest_is_internal"}
     events = events_of(raw, key, year=year, further=tuple(dict.fromkeys((*FURTHER, *(f for f in rule_fields(rules) if f not in known)))), now=now)
-    path = f"{shared_base(raw.sparkSession).rstrip('/')}/events-{uuid.uuid4().hex}"
-    events.write.parquet(path)
-    events = raw.sparkSession.read.schema(events.schema).parquet(path)
+    events = saved(events, "events")
     if iocs is not None:
         events = lookups.enrich_indicators(events, lookups.match_indicators(events, iocs, key, now), key)
     if assets is not None:

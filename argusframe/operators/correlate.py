@@ -2,17 +2,24 @@
 
 The three limits are greedy: a row counts only if the last one that counted
 is far enough back. Each key's candidates are folded in order, and keys are
-independent; a null key is a key as any other.
+independent; a null key is a key as any other. A large key's ranges are folded
+side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..shared import saved
+from .ranges import HOT_ROWS, hot_and_cold, keyed, ranged, run, segments
 from .rules import Rule
 from .windows import rolling_count
 
@@ -27,28 +34,102 @@ def threshold_hits(events: DataFrame, rule: Rule) -> DataFrame:
     return matched.withColumn("n", rolling_count(["group_key"], rule.window)).where(F.col("n") >= rule.threshold).withColumn("rule_id", F.lit(rule.rule_id))
 
 
-def greedy(df: DataFrame, by: list[str], gap: float | str, order: tuple[str, ...] = ("timestamp", "event_id"), at: str = "timestamp") -> DataFrame:
-    """The rows that count: of each key the first, then each one at least `gap` seconds (or a column of seconds) after the last that counted.
+def _chain(times: np.ndarray, gap: float) -> np.ndarray:
+    """The first later row that is at least `gap` after each, by place; the number of rows where there is none."""
+    return np.searchsorted(times, times + gap, side="left") if gap > 0 else np.arange(1, len(times) + 1)
 
-    Rows of a key stream through one task in order, in batches; only the time of the last that counted is kept.
+
+def _counting(start: int | None = None):
+    """The fold that marks rows that count; start: microseconds of the last one before them."""
+    last = start
+
+    def fold(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        nonlocal last
+        times, gaps = batch.column("_at").to_numpy(zero_copy_only=False), batch.column("_gap").to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(times), bool)
+        for i, (t, g) in enumerate(zip(times.tolist(), gaps.tolist(), strict=True)):
+            if last is None or t - last >= g:
+                counts[i], last = True, t
+        return {"_counts": counts}
+
+    return fold
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range of a key: from, the times that may be its first to count, and to, the last that counts after each of these.
+
+    Neighbours with the same end are one entry, and chains soon run into one another. A time further than the gap from the
+    range's first is never the first to count.
+    """
+    at, times, gap, found = None, [], 0, []
+
+    def closed() -> dict:
+        t = np.concatenate(times)
+        follow, end = _chain(t, gap), np.arange(len(t))
+        for i in range(len(t) - 1, -1, -1):
+            if follow[i] < len(t):
+                end[i] = end[follow[i]]
+        first = np.flatnonzero(t < t[0] + max(gap, 1))
+        # one more: the first row beyond, for a start just before the range
+        first = np.arange(min(len(first) + 1, len(t)))
+        new = np.r_[True, end[first][1:] != end[first][:-1]]
+        last_of_run = np.r_[np.flatnonzero(new)[1:] - 1, len(first) - 1]
+        return {"_part": at[0], "_key": at[1], "from": t[first[last_of_run]].tolist(), "to": t[end[first[new]]].tolist(), "_gap": gap}
+
+    for batch in batches:
+        for i, j in segments(batch, ["_part", "_key"]):
+            here = (batch.column("_part")[i].as_py(), batch.column("_key")[i].as_py())
+            if here != at:
+                found += [closed()] if at else []
+                at, times, gap = here, [], batch.column("_gap")[i].as_py()
+            times.append(batch.column("_at").slice(i, j - i).to_numpy(zero_copy_only=False))
+    found += [closed()] if at else []
+    yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("_part", pa.int32()), ("_key", pa.string()), ("from", pa.list_(pa.int64())), ("to", pa.list_(pa.int64())), ("_gap", pa.int64())]))
+
+
+def _starts(rows: pd.DataFrame) -> pd.DataFrame:
+    """The time that counted last before each range of a key: a step for each range."""
+    last, out = None, []
+    for r in rows.sort_values("_part").itertuples(index=False):
+        out.append((r[0], r[1], last))
+        froms, tos = r[2], r[3]
+        place = 0 if last is None else int(np.searchsorted(froms, last + r[4], side="left"))
+        last = int(tos[place]) if place < len(tos) else last
+    return pd.DataFrame(out, columns=["_part", "_key", "_start"]).astype({"_start": "Int64"})
+
+
+def greedy(df: DataFrame, by: list[str], gap: float | str, order: tuple[str, ...] = ("timestamp", "event_id"), at: str = "timestamp", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows that count: of each key the first, then each one at least `gap` seconds (or a column of seconds, one value a key) after the last that counted.
+
+    order begins with `at`. Columns and types stay as they are, nulls and ties included; rows without a time come first and,
+    having no distance from others, don't count. A key of over hot_rows rows is cut into ranges of time: each range says at
+    which time the last one counts, whichever counts first; from these the start of each range follows, and all ranges are
+    then folded at once.
     """
-    # as text, since pandas makes NaN of null numbers, which equals nothing
-    keyed = df.withColumn("_key", F.to_json(F.struct(*by)))
-
-    def fold(batches):
-        last: tuple = (None, 0.0)
-        for rows in batches:
-            keep = []
-            stamps = pd.to_datetime(rows[at]).astype("datetime64[us]").astype("int64") / 1e6
-            gaps = rows[gap] if isinstance(gap, str) else [gap] * len(rows)
-            for key, t, g in zip(rows["_key"], stamps, gaps, strict=True):
-                counts = key != last[0] or t - last[1] >= g
-                if counts:
-                    last = (key, t)  # keys come one after the other
-                keep.append(counts)
-            yield rows[keep]
-
-    return keyed.repartition("_key").sortWithinPartitions("_key", *order).mapInPandas(fold, keyed.schema).drop("_key")
+    seconds = F.col(gap) if isinstance(gap, str) else F.lit(float(gap))
+    rows = keyed(df, by).where(F.col(at).isNotNull()).withColumns({"_at": F.unix_micros(F.col(at).cast("timestamp")), "_gap": F.round(seconds * 1_000_000).cast("bigint")})
+    hot, cold = hot_and_cold(rows, hot_rows)
+    kinds = T.StructType([*df.schema.fields, T.StructField("_counts", T.BooleanType())])
+    out = cold.repartition("_key").sortWithinPartitions("_key", *order).mapInArrow(run(_counting, ["_key"], kinds), kinds)
+    if hot is not None:
+        table, _ = ranged(hot, list(order), hot_rows)
+        ends = table.repartition("_part").sortWithinPartitions("_part", "_key", *order).select("_part", "_key", "_at", "_gap").mapInArrow(_ends, "_part int, _key string, from array<long>, to array<long>, _gap long")
+        starts = saved(ends.groupBy("_key").applyInPandas(_starts, "_part int, _key string, _start long"), "starts")  # a row for each range and key in it
+        sorted_again = table.join(F.broadcast(starts), ["_part", "_key"]).repartition("_part").sortWithinPartitions("_part", "_key", *order)
+        out = out.unionByName(sorted_again.mapInArrow(run(_started, ["_part", "_key"], kinds), kinds))
+    return out.where("_counts").drop("_counts")
+
+
+def _started():
+    """As _counting, from the time that the rows themselves name in _start."""
+    inner = None
+
+    def fold(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        nonlocal inner
+        inner = inner or _counting(batch.column("_start")[0].as_py())
+        return inner(batch)
+
+    return fold
 
 
 def escalated(rule: Rule, n: Column) -> Column:

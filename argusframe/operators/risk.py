@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lookups import mapped
+from .ranges import HOT_ROWS, Fold, folded
 
 # Scores by severity and action, weights of the factors, and names of privileged accounts.
 SEVERITY = {"emergency": 1.0, "alert": 0.95, "critical": 0.9, "error": 0.7, "warning": 0.5, "notice": 0.3, "info": 0.1, "debug": 0.05, "high": 0.8, "medium": 0.5, "low": 0.25}
@@ -45,17 +49,61 @@ def factors(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def risk_scores(df: DataFrame, weights: dict[str, float] = WEIGHTS, custom: list[tuple[str, Callable[[DataFrame], Column], float]] = (), key: str = "event_id") -> DataFrame:
-    """df with risk_score and risk_level. History: the mean of an address's last ten scores without it, from five on."""
+def _history(weight: float, look_back: int):
+    """The fold that adds an address's history to its events: each final score is part of the history of the next ten.
+
+    In a range of a large address the scores before are not known. More in the past never gives less now, so two folds over the
+    rows before the range, one after ten scores of 0 and one after ten of 100, have all others between them; where they
+    agree, the range is sure.
+    """
+
+    def score(base: float, recent: deque, known: int) -> float:
+        mean = sum(recent) / len(recent) if recent else 0.0
+        factor = 0.1 if known < 5 else min(1.0, mean / 100) if mean > 50 else 0.4 if mean > 30 else 0.1
+        return min(100.0, base + factor * weight)
+
+    def make() -> Fold:
+        own, least, most = deque(maxlen=10), deque([0.0] * 10, 10), deque([100.0] * 10, 10)
+        known, ahead, sure = 0, 0, True
+
+        def fold(batch: pa.RecordBatch) -> dict:
+            nonlocal own, known, ahead, sure
+            out = []
+            for base, halo in zip(batch.column("_base_score").to_pylist(), batch.column("_halo").to_pylist(), strict=True):
+                if not halo and ahead == look_back:  # there may be more before; less than look_back rows are all there are
+                    own, sure, ahead = least, list(least) == list(most), 0
+                if halo:
+                    ahead += 1
+                    least.append(score(base, least, 10))
+                    most.append(score(base, most, 10))
+                out.append(score(base, own, known))
+                own.append(out[-1])
+                known += 1
+            return {"risk_score": np.array(out), "_sure": np.full(len(out), sure)}
+
+        return fold
+
+    return make
+
+
+def risk_scores(
+    df: DataFrame, weights: dict[str, float] = WEIGHTS, custom: list[tuple[str, Callable[[DataFrame], Column], float]] = (), key: str = "event_id", look_back: int = 1000, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """df with risk_score and risk_level. History: the mean of an address's last ten scores, their own history included, from five on.
+
+    An address of over hot_rows events is scored in ranges of time, each after look_back events before it. Events without
+    an address have no history, and follow on each other in no way.
+    """
     parts = factors(df)
     base = sum((parts[k] * weights.get(k, 0) for k in parts), F.lit(0.0))
     base = base + sum((f(df) * w for _, f, w in custom), F.lit(0.0))
-    scored = df.withColumn("_base", F.least(F.lit(100.0), F.greatest(F.lit(0.0), base)))
-    order = Window.partitionBy("source_ip").orderBy("timestamp", key)
-    recent, known = F.avg("_base").over(order.rowsBetween(-10, -1)), F.count("_base").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    history = F.when(F.col("source_ip").isNull() | (known < 5), 0.1).when(recent > 50, F.least(F.lit(1.0), recent / 100)).when(recent > 30, 0.4).otherwise(0.1)
-    out = scored.withColumn("risk_score", F.least(F.lit(100.0), F.col("_base") + history * weights.get("historical", 0))).drop("_base")
-    return out.withColumn("risk_level", risk_level(F.col("risk_score")))
+    base = F.least(F.lit(100.0), F.greatest(F.lit(0.0), base))
+    weight = weights.get("historical", 0)
+    addressed, none = F.col("source_ip") != "", F.coalesce(F.col("source_ip"), F.lit("")) == ""
+    lone = df.where(none).withColumn("risk_score", F.least(F.lit(100.0), base + 0.1 * weight))
+    fields = {"risk_score": "double", "_sure": "boolean"}
+    scored = folded(df.where(addressed), ["source_ip"], ["timestamp", key], _history(weight, look_back), fields, {"_base_score": base}, look_back, hot_rows, "_sure").drop("_sure")
+    return scored.unionByName(lone).withColumn("risk_level", risk_level(F.col("risk_score")))
 
 
 def risk_level(score: Column) -> Column:

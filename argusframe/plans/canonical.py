@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 CANONICAL_SQL = """
@@ -35,11 +33,3 @@ WITH = f"WITH canon AS ({CANONICAL_SQL})\n"
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CANONICAL_SQL.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-
-def shared_base(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; in local mode without one, a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return path or tempfile.mkdtemp(prefix="spark-files-")

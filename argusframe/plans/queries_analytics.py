@@ -97,8 +97,13 @@ _RISK = """, b AS (SELECT *, least(100.0, 25 * CASE severity WHEN 'info' THEN 0.
   + 10 * CASE action WHEN 'logon_failed' THEN 1.0 WHEN 'user_created' THEN 0.8 WHEN 'write' THEN 0.5 WHEN 'connect' THEN 0.3 ELSE 0.2 END
   + 5 * CASE WHEN hour(timestamp) < 5 THEN 0.8 WHEN hour(timestamp) < 7 OR hour(timestamp) >= 22 THEN 0.5 WHEN isodow(timestamp) > 5 THEN 0.4 ELSE 0.1 END
   + 10 * CASE WHEN source_user = 'root' THEN 0.9 WHEN starts_with(source_user, 'svc_') THEN 0.6 ELSE 0.3 END)::DOUBLE AS base FROM canon),
-r AS (SELECT *, avg(base) OVER (PARTITION BY source_ip ORDER BY timestamp, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS recent, count(*) OVER (PARTITION BY source_ip ORDER BY timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM b),
-scored AS (SELECT *, least(100.0, base + 5 * CASE WHEN known < 5 THEN 0.1 WHEN recent > 50 THEN least(1.0, recent / 100) WHEN recent > 30 THEN 0.4 ELSE 0.1 END) AS risk_score FROM r) """
+r AS (SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY timestamp, event_id) AS i FROM b),
+f AS (SELECT source_ip, i, [least(100.0, base + 5 * 0.1)] AS last FROM r WHERE i = 1 UNION ALL
+  SELECT r.source_ip, r.i, list_append(f.last[-9:], least(100.0, r.base + 5 * CASE WHEN f.i < 5 THEN 0.1 WHEN list_avg(f.last) > 50 THEN least(1.0, list_avg(f.last) / 100) WHEN list_avg(f.last) > 30 THEN 0.4 ELSE 0.1 END))
+  FROM f JOIN r ON r.source_ip = f.source_ip AND r.i = f.i + 1),
+scored AS (SELECT r.*, f.last[-1] AS risk_score FROM r JOIN f ON r.source_ip = f.source_ip AND r.i = f.i) """
 _add("t13_risk", lambda df: risk.risk_scores(df).select("event_id", F.round("risk_score", 3).alias("risk_score")), _RISK + "SELECT event_id, round(risk_score, 3) AS risk_score FROM scored")
 _add("t15_risk_level", lambda df: risk.risk_scores(df).groupBy("risk_level").agg(F.count("*").alias("n")), _RISK + "SELECT CASE WHEN risk_score >= 80 THEN 'critical' WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 40 THEN 'medium' WHEN risk_score >= 20 THEN 'low' ELSE 'minimal' END AS risk_level, count(*) AS n FROM scored GROUP BY 1")
 _add("a20_entity_risk", lambda df: risk.entity_risk(risk.risk_scores(df)).select("source_ip", "n", *(F.round(c, 3).alias(c) for c in ("mean", "most", "least", "recent"))), _RISK + ", e AS (SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY timestamp DESC, event_id DESC) AS k FROM scored) SELECT source_ip, count(*) AS n, round(avg(risk_score), 3) AS mean, round(max(risk_score), 3) AS most, round(min(risk_score), 3) AS least, round(avg(risk_score) FILTER (k <= 10), 3) AS recent FROM e GROUP BY 1")
+for _name in ("t13_risk", "t15_risk_level", "a20_entity_risk"):  # a score is part of the history of the next ones
+    SQL[_name] = "WITH RECURSIVE" + SQL[_name][4:]

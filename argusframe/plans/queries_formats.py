@@ -11,7 +11,8 @@ from ..functions import normalise, scalars
 from ..operators import alerts, catalogue, lookups, risk, rules, windows
 from ..operators.predicates import OPERATORS
 from ..sources import parsers, readers, sinks
-from .canonical import WITH, canonical, shared_base
+from ..shared import shared_base
+from .canonical import WITH, canonical
 
 NOW = dt.datetime(2024, 1, 20)
 BY = ["timestamp", "event_id"]

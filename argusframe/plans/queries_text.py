@@ -10,7 +10,8 @@ from ..functions import normalise, scalars
 from ..operators import catalogue, rules
 from ..sources import parsers, readers, sinks
 from ..streaming import streams
-from .canonical import WITH, canonical, shared_base
+from ..shared import shared_base
+from .canonical import WITH, canonical
 
 QUERIES, SQL = {}, {}
 
