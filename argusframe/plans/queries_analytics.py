@@ -58,6 +58,8 @@ _add("w01_moving_average", lambda df: df.select("event_id", windows.moving_avera
 _add("w02_ewma", lambda df: windows.ewma(df, "value", "source_ip", BY), "SELECT source_ip, list_reduce(list(value ORDER BY timestamp, event_id), lambda a, v: 0.3 * v + 0.7 * a) AS ewma FROM canon GROUP BY 1")
 _add("w03_rolling_threshold", lambda df: df.select("event_id", windows.rolling_count(["source_ip"], 3600).alias("n")), "SELECT event_id, count(*) OVER (PARTITION BY source_ip ORDER BY timestamp RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS n FROM canon")
 _add("w04_z_score", lambda df: windows.z_scores(df, "value", ["severity"], BY).select("event_id", F.round("z", 4).alias("z")), ", w AS (SELECT event_id, value, count(value) OVER p AS n, avg(value) OVER p AS m, stddev_samp(value) OVER p AS s FROM canon WINDOW p AS (PARTITION BY severity ORDER BY timestamp, event_id ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING)) SELECT event_id, CASE WHEN n >= 30 AND s > 0 THEN round(abs(value - m) / s, 4) END AS z FROM w")
+_add("w04_z_outliers", lambda df: windows.z_scores(df.withColumn("v", F.when(F.col("event_id") % 1499 == 7, 5e9).when(F.col("event_id") % 11 != 3, F.col("value"))), "v", ["event_type"], BY, rows=100).select("event_id", F.round("z", 4).alias("z")),
+     ", w AS (SELECT event_id, v, count(v) OVER p AS n, avg(v) OVER p AS m, stddev_samp(v) OVER p AS s FROM (SELECT *, CASE WHEN event_id % 1499 = 7 THEN 5e9 WHEN event_id % 11 <> 3 THEN value END AS v FROM canon) WINDOW p AS (PARTITION BY event_type ORDER BY timestamp, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)) SELECT event_id, CASE WHEN n >= 30 AND s > 0 THEN round(abs(v - m) / s, 4) END AS z FROM w")
 _Q = ", w AS (SELECT *, count(value) OVER p AS n, quantile_cont(value, 0.25) OVER p AS q1, quantile_cont(value, 0.5) OVER p AS q2, quantile_cont(value, 0.75) OVER p AS q3 FROM canon WINDOW p AS (PARTITION BY source_user ORDER BY timestamp, event_id ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING)) "
 _add("w06_iqr", lambda df: windows.iqr_scores(df, "value", ["source_user"], BY).select("event_id", "outlier", F.round("iqr_score", 4).alias("score")), _Q + "SELECT event_id, coalesce(n >= 20 AND q3 > q1 AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)), false) AS outlier, CASE WHEN n >= 20 AND q3 > q1 THEN round(abs(value - q2) / (q3 - q1), 4) END AS score FROM w")
 _add("w09_rare_pairs", lambda df: windows.rare_pairs(df, "severity", ["dest_ip", "action"], BY, 50, 2, 0.02).select("event_id"), ", w AS (SELECT event_id, count(*) OVER (PARTITION BY severity, dest_ip, action ORDER BY timestamp, event_id) AS k, count(*) OVER (PARTITION BY severity ORDER BY timestamp, event_id) AS n FROM canon) SELECT event_id FROM w WHERE n > 50 AND k <= 2 AND k / n < 0.02")
