@@ -48,8 +48,9 @@ def saved_bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame
 
 def placed(rows: DataFrame, name: str, rows_at_once: int = 500_000) -> DataFrame:
     """rows written bucketed by bucket, a group of their partitions, with uid, and part and pos that it consists of."""
-    parallel = rows.sparkSession.sparkContext.defaultParallelism
-    buckets = max(2 * parallel, math.ceil(rows.count() / rows_at_once))
+    spark = rows.sparkSession
+    # with fewer buckets than Spark has partitions for a shuffle, a join on them would shuffle the rows
+    buckets = max(2 * spark.sparkContext.defaultParallelism, math.ceil(rows.count() / rows_at_once), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.withColumn("uid", F.monotonically_increasing_id())
     rows = rows.withColumn("part", F.shiftright("uid", 33).cast("int")).withColumn("pos", F.col("uid").bitwiseAND((1 << 33) - 1))
     return saved_bucketed(rows.withColumn("bucket", F.pmod("part", F.lit(buckets)).cast("int")), name, buckets, "bucket")

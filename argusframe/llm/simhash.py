@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import HOT_ROWS, met, placed, saved, text_of, without
 from .components import components
-from .minhash import HOT_BAND, SIMILARITY, WORDS, bands, near_roots, shingles
+from .minhash import CELL_ROWS, HOT_BAND, SIMILARITY, WORDS, bands, near_roots, shingles
 
 #: Shingles that are counted at once, which bounds memory on very long texts.
 AT_ONCE = 1 << 16
@@ -161,7 +161,7 @@ def close(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def similar_dedup(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY, hot_band: int = HOT_BAND, hot_rows: int = HOT_ROWS
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, similarity: float = SIMILARITY, hot_band: int = HOT_BAND, cell_rows: int = CELL_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """docs with one row of each group that near copies link: that with the smallest id (of ties, and of rows without ids, any one).
 
@@ -172,6 +172,6 @@ def similar_dedup(
     body: Column = text_of(F.col("row").getField(text_column))
     packed = placed(docs.select(F.struct(*docs.columns).alias("row")).withColumn("sketch", _sketches(words)(body)), "simhash_packed")
     near = close(packed.select("uid", "sketch.fp"), hot_rows)
-    roots = near_roots(packed, body, packed.select("uid", "sketch.keys"), near, words, similarity, hot_band)
+    roots = near_roots(packed, body, packed.select("uid", "sketch.keys"), near, words, similarity, hot_band, cell_rows, hot_rows)
     ids = packed.select(F.col("row").getField(id_column).alias("id"), "uid", "bucket", "part", "pos")
     return _kept(packed, saved(ids.join(roots.withColumnRenamed("node", "uid"), "uid"), "simhash_grouped"), hot_rows)
