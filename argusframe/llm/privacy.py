@@ -4,8 +4,9 @@ Entities are found in each text, and each distinct one gets a surrogate from a
 keyed hash: of the same type, gender, script and format. The table of distinct
 entities is then checked: where two entities share a surrogate, or a surrogate
 is itself an entity of the corpus, all but the first draw again, until none
-does; later draws are longer where a format has few values. IPv4 addresses are
-permuted by key within their block instead, since a block may be full. Last,
+does; later draws are longer where a format has few values. Addresses are
+permuted by key within their block instead, and so are the domains of mail and
+the mailboxes of a domain among all of their format, since these may be full. Last,
 the surrogates are put into the texts that have entities; a person's given and
 family names are entities of their own, so that short and full mentions stay
 consistent, and a given name's gender is what its mentions in the corpus tell.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -34,7 +36,10 @@ _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0
 _PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|\.\d)", re.A)
 _CARD = re.compile(r"(?<![\w.+-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])", re.A)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A)
-_IP6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)", re.A)
+#: Of addresses that begin with colons, the loopback and those of two groups or more: code has others.
+_IP6 = re.compile(
+    r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:|:(?::[0-9A-Fa-f]{1,4}){2,7}|::0{0,3}1)(?![\w:]|\.\d)", re.A
+)
 #: Numbers as they are dialled within a country: a leading zero and groups.
 _NATIONAL = re.compile(r"(?<![\w.+/:-])0\d{1,4}[ ./-]\d{2,4}(?:[ .-]?\d{2,5}){1,4}(?![\w-]|\.\d)", re.A)
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
@@ -93,6 +98,14 @@ def people_of(text: str) -> Iterator[tuple[str, str, str]]:
             yield "u", m[1], m[2]
 
 
+def canonical_ip6(text: str) -> str:
+    """The one spelling of an address that has many; empty if it is none."""
+    try:
+        return str(ipaddress.IPv6Address(text))
+    except ValueError:
+        return ""
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form), in order and without overlaps; on equal starts the longer wins, then the earlier type.
 
@@ -108,7 +121,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "ip", m[0]) for m in _IP.finditer(text)]
         found += [(m.start(), m.end(), "phone", d) for p in (_PHONE, _NATIONAL) for m in p.finditer(text) if len(d := _digits(m[0])) >= 8]
     if text.count(":") > 1:
-        found += [(m.start(), m.end(), "ip6", m[0].lower()) for m in _IP6.finditer(text)]
+        found += [(m.start(), m.end(), "ip6", v) for m in _IP6.finditer(text) if (v := canonical_ip6(m[0]))]
     people: dict[str, str] = {}
     for gender, given, family in people_of(text):
         if given:
@@ -171,17 +184,38 @@ _BLOCKS = [(0, (1 << 24) - 1), (224 << 24, (1 << 32) - 1), (10 << 24, (11 << 24)
 def permuted(key: bytes, label: str, x: int, n: int) -> int:
     """x's place in a keyed permutation of 0 to n - 1: a Feistel network, walked until it is back in the range."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
+    mask, size = (1 << half) - 1, max(8, -(-half // 8))
+
+    def round_of(r: int, right: int) -> int:
+        out = b""
+        while len(out) < size:
+            out += hmac.new(key, f"{label}\0{r + 6 * (len(out) // 32)}\0{right}".encode("utf-8", "surrogatepass"), hashlib.sha256).digest()
+        return int.from_bytes(out[:size], "big") & mask
+
     while True:
         left, right = x >> half, x & mask
         for r in range(6):
-            digest = hmac.new(key, f"{label}\0{r}\0{right}".encode(), hashlib.sha256).digest()
-            left, right = right, left ^ int.from_bytes(digest[:8], "big") & mask
+            left, right = right, left ^ round_of(r, right)
         x = left << half | right
         if x < n:
             return x
 
 
+def permuted_text(key: bytes, label: str, text: str) -> str:
+    """A text of the same format: digits for digits, letters for letters of the same case. No two texts go to one."""
+    sizes = [10 if "0" <= c <= "9" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in text]
+    form = "".join("0" if n == 10 else c if n == 1 else "a" if c.islower() else "A" for c, n in zip(text, sizes, strict=True))
+    bases = [ord("0") if n == 10 else 97 if f == "a" else 65 for f, n in zip(form, sizes, strict=True)]
+    x, all_of = 0, 1
+    for c, n, b in zip(text, sizes, bases, strict=True):
+        x, all_of = x * n + (ord(c) - b if n > 1 else 0), all_of * n
+    x, out = permuted(key, f"{label}\0{form}", x, all_of), []
+    for c, n, b in zip(reversed(text), reversed(sizes), reversed(bases), strict=True):
+        x, k = divmod(x, n)
+        out.append(chr(b + k) if n > 1 else c)
+    return "".join(reversed(out))
+
+
 def moved_address(value: str, key: bytes) -> str:
     """An address of the same block; no two addresses move to one."""
     parts = [int(p) for p in value.split(".")]
@@ -203,15 +237,13 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes, gender: str = "u"
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         host, top = domain.rsplit(".", 1)
-        same = _Draw(key, "domain", domain, 0)  # mail of one domain keeps one domain
-        return f"{d.like(local)}{more}@{same.like(host)}.{top}"
+        local = d.like(local) + more if attempt else permuted_text(key, f"mailbox\0{domain}", local)
+        return f"{local}@{permuted_text(key, f'domain{chr(0)}{top}', host)}.{top}"
     if kind == "ip":
         return moved_address(value, key)
-    if kind == "ip6":
-        first, rest = value.split(":", 1)
-        wide = iter(range(attempt // 4))
-        hexed = lambda m: "".join("0123456789abcdef"[d.below(16)] for _ in range(min(4, len(m[0]) + (1 if next(wide, None) is not None else 0))))
-        return first + ":" + re.sub("[0-9a-f]+", hexed, rest)
+    if kind == "ip6":  # within the block of the first 16 bits
+        x, low = int(ipaddress.IPv6Address(value)), (1 << 112) - 1
+        return str(ipaddress.IPv6Address(x & ~low | permuted(key, f"ip6{x >> 112}", x & low, low + 1)))
     if kind == "card":
         body = value[0] + "".join(str(d.below(10)) for _ in value[1:])
         if _luhn(value):
@@ -237,6 +269,8 @@ def dressed(surface: str, kind: str, made: str) -> str:
         return "".join(next(source, "0") if c.isalnum() else c for c in surface)
     if kind == "email":
         return made.upper() if surface.isupper() else "".join(m.upper() if s.isupper() and len(surface) == len(made) else m for s, m in zip(surface.ljust(len(made)), made, strict=False))
+    if kind == "ip6":
+        return made.upper() if surface.isupper() else made
     if "-" in kind:
         made += "а" if kind == "family-f-cyrillic" else ""
         return made.upper() if surface.isupper() and len(surface) > 1 else made[:1].upper() + made[1:]
@@ -282,9 +316,9 @@ def surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     draw = _drawer(key)
     table = entities.withColumn("attempt", F.lit(0))
     table = saved(table.withColumn("made", draw("kind", "value", "attempt", "gender")), "surrogates")
-    values = table.where("kind != 'ip'").select(F.col("value").alias("made")).distinct()
+    values = table.where("kind NOT IN ('ip', 'ip6')").select(F.col("value").alias("made")).distinct()
     while True:
-        drawn = table.where("kind != 'ip'")
+        drawn = table.where("kind NOT IN ('ip', 'ip6')")
         first = drawn.groupBy("made").agg(F.min(F.struct("attempt", "kind", "value")).alias("stays"), F.count("*").alias("n"))
         # of those that share, the first stays, which keeps draws in an order that does not loop; of those that copy, none
         shared = first.where("n > 1").select("made", "stays")
