@@ -121,11 +121,21 @@ def _text_of(df: DataFrame):
     return lambda name: F.nullif(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit(None).cast("string")
 
 
+def _escaped(text: Column, signs: str) -> Column:
+    """text on one line, with a backslash before these signs and before backslashes."""
+    marked = F.regexp_replace(text, f"([{signs}\\\\])", r"\\$1")
+    return F.replace(F.replace(marked, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
 def as_cef(df: DataFrame) -> Column:
-    """Events as CEF records; times as milliseconds. Signs that part fields are escaped, so that a parser gives the same values."""
+    """Events as CEF records; times as milliseconds.
+
+    What parts fields is escaped: bars in the head, equal signs in the pairs, and line ends and backslashes in both, so
+    that a value cannot pose as a field or as a record, and a parser gives the same values.
+    """
     text = _text_of(df)
-    head = lambda c, d: F.regexp_replace(F.coalesce(c, F.lit(d)), r"([|\\\\])", r"\\$1")
-    value = lambda f: F.unix_millis(F.col(f).cast("timestamp")).cast("string") if f == "timestamp" and f in df.columns else text(f)
+    head = lambda c, d: _escaped(F.coalesce(c, F.lit(d)), "|")
+    value = lambda f: F.unix_millis(F.col(f).cast("timestamp")).cast("string") if f == "timestamp" and f in df.columns else _escaped(text(f), "=")
     pairs = F.concat_ws(" ", *(F.concat(F.lit(f"{k}="), value(f)) for k, f in CEF_KEYS.items()))
     severity = F.coalesce(mapped(CEF_SEVERITY, text("severity")), F.lit(1)).cast("string")
     return F.concat_ws("|", F.lit("CEF:0"), head(text("vendor"), "unknown"), head(text("product"), "Generic"), F.lit("1.0"), head(text("rule_id"), "0"), head(F.coalesce(text("message"), text("action")), "Event"), severity, pairs)

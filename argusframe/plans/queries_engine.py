@@ -29,6 +29,7 @@ def _lines(df):
 
 _add("engine_alerts", lambda df: engine.process(_lines(df), catalogue.RULES).alerts.select("rule_id", "event_id"), _ALERTS + "SELECT * FROM hits")
 _add("engine_scores", lambda df: engine.process(_lines(df), []).events.select("event_id", F.round("risk_score", 3).alias("risk_score")), _RISK + "SELECT event_id, round(risk_score, 3) AS risk_score FROM scored")
+SQL["engine_scores"] = "WITH RECURSIVE" + SQL["engine_scores"][4:]
 _PAIR = rules.Rule("PAIR", "high", ((("action", "eq", "logon_failed"),),), "correlation", window=36000, threshold=2, group_by=("source_ip",))
 _add("engine_correlated", lambda df: engine.process(_lines(df), [_PAIR]).correlated.groupBy("group_key").agg(F.min("timestamp").cast("timestamp_ntz").alias("first")),
      ", t AS (SELECT source_ip AS group_key, timestamp, count(*) OVER (PARTITION BY source_ip ORDER BY timestamp RANGE BETWEEN INTERVAL 36000 SECOND PRECEDING AND CURRENT ROW) AS n FROM canon WHERE action = 'logon_failed') SELECT group_key, min(timestamp) AS first FROM t WHERE n >= 2 GROUP BY 1")
@@ -51,8 +52,10 @@ _rendered("n14_cef_records", normalise.as_cef, lambda: {"vendor": F.lit("a|b")},
      r""" SELECT event_id, concat('CEF:0|a\|b|', product, '|1.0|0|', message, '|', CASE severity WHEN 'critical' THEN 8 ELSE 1 END, '|', concat_ws(' ', concat('src=', source_ip), concat('spt=', source_port), 'dst=' || dest_ip, 'dpt=' || dest_port, concat('act=', action), concat('suser=', source_user), concat('msg=', message), concat('rt=', epoch_us(timestamp) // 1000))) AS line FROM canon""")
 _rendered("n14_syslog_lines", normalise.as_syslog, lambda: {"timestamp": F.lit("2024-01-15 10:30:00").cast("timestamp")}, " SELECT event_id, concat('2024-01-15T10:30:00Z ', source_ip, ' local0[', severity, ']: ', message) AS line FROM canon")
 _rendered("n14_summary", normalise.as_summary, lambda: {"timestamp": F.lit(None).cast("timestamp")}, """ SELECT event_id, concat_ws(' ', source_ip, '->' || dest_ip, action, '[' || result || ']', concat('"', substr(message, 1, 50), '"')) AS line FROM canon""")
-_add("n14_round_trip", lambda df: parsers.parsed((lambda d: d.select("event_id", normalise.as_cef(d).alias("raw")))(df.withColumn("product", F.concat("product", F.lit("|\\"))))).select("event_id", "format", *(F.col("fields")[f].alias(f) for f in ("product", "source_ip", "dest_ip", "action", "source_user"))),
-     r" SELECT event_id, 'cef' AS format, concat(product, '|\') AS product, source_ip, dest_ip, action, source_user FROM canon")
+_FORGED = " act=drop src=6.6.6.6 \\ | =\n<1>x"
+_add("n14_round_trip", lambda df: parsers.parsed((lambda d: d.select("event_id", normalise.as_cef(d).alias("raw")))(df.withColumns({"product": F.concat("product", F.lit("|\\")), "message": F.concat("message", F.lit(_FORGED)), "source_user": F.concat("source_user", F.lit("\\n a=b"))})))
+     .select("event_id", "format", *(F.col("fields")[f].alias(f) for f in ("product", "source_ip", "dest_ip", "action", "source_user", "message"))),
+     r" SELECT event_id, 'cef' AS format, concat(product, '|\') AS product, source_ip, dest_ip, action, concat(source_user, '\n a=b') AS source_user, concat(message, ' act=drop src=6.6.6.6 \ | =', chr(10), '<1>x') AS message FROM canon")
 _add("n15_errors", lambda df: (lambda d: d.select("event_id", F.array_join(normalise.errors(d), "; ").alias("errors")))(df.withColumns({"source_log": F.when(F.col("event_id") % 3 > 0, "x"), "dest_ip": F.when(F.col("event_id") % 4 == 0, F.concat(F.col("source_ip"), F.lit(".1"))).when(F.col("event_id") % 4 == 1, "fe80::1").otherwise("-")})),
      " SELECT event_id, concat_ws('; ', CASE WHEN event_id % 3 = 0 THEN 'Missing source_log' END, CASE WHEN event_id % 4 = 0 THEN concat('Invalid dest_ip: ', source_ip, '.1') END) AS errors FROM canon")
 _tags = lambda: F.when(F.col("event_id") % 2 == 0, F.array("action", "severity"))

@@ -239,3 +239,12 @@ def test_engine_without_lines_or_rules(spark):
     made = engine.process(spark.createDataFrame([(1, None), (2, "")], "event_id long, raw string"), [])
     assert sorted(r.event_id for r in made.events.collect()) == [1, 2]
     assert made.alerts.count() == made.correlated.count() == 0
+
+
+@pytest.mark.parametrize("value", ["user said act=drop src=6.6.6.6", "a\\=b", "end\\", "two\nlines\r\nCEF:0|x", "c:\\new\\run", "a|b=c \\| d", "x  y"])
+def test_cef_values_cannot_pose_as_fields(spark, value):
+    df = spark.createDataFrame([("1.2.3.4", "deny", value, value, "t")], "source_ip string, action string, message string, source_user string, dest_user string")
+    line = df.select(normalise.as_cef(df).alias("raw"))
+    assert "\n" not in line.first().raw
+    (found,) = parsers.parsed(line.withColumn("event_id", F.lit(1))).collect()
+    assert (found.fields["source_ip"], found.fields["action"], found.fields["message"], found.fields["source_user"], found.fields["dest_user"]) == ("1.2.3.4", "deny", value, value, "t")
