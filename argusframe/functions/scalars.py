@@ -14,7 +14,13 @@ from ..operators.predicates import cidr6_digits, cidr_range, ip6_digits, ip_numb
 _SECONDS = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 # Address ranges that count as internal.
 INTERNAL = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4")
-TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss Z", "dd-MM-yyyy HH:mm:ss", "yyyyMMddHHmmss", "yyyy-MM-dd")
+# Forms of a time besides ISO 8601, in the order in which they are tried; those of a day before those of a month first.
+TIME_FORMATS = (
+    "yyyy/MM/dd HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm", "dd/MMM/yyyy:HH:mm:ss Z", "dd/MMM/yyyy:HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy hh:mm:ss a",
+    "MMM d yyyy HH:mm:ss", "MMM d HH:mm:ss yyyy", "dd-MMM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss",
+)
+#: The same written as one number, by its digits.
+COMPACT = {8: "yyyyMMdd", 14: "yyyyMMddHHmmss"}
 
 
 def duration_seconds(text: str | float) -> float:
@@ -60,11 +66,26 @@ def duration_text(seconds: Column, parts: int = 2) -> Column:
     return F.when(seconds.isNull() | (seconds < 0), "unknown").when(F.floor(seconds) == 0, "0 seconds").otherwise(text)
 
 
-def parse_time(text: Column) -> Column:
-    """ISO, other listed formats, or an epoch in seconds or (over 1e12) milliseconds; null if none fits."""
-    number = text.try_cast("double")
+def parse_time(text: Column, year: int | None = None, now: Column | None = None) -> Column:
+    """ISO 8601, the listed forms, or an epoch in seconds or (over 1e12) milliseconds; null if none fits.
+
+    A weekday before a date is left out. year: of times that have none, as syslog's. now: reads 'now', '-5m' and '5 minutes
+    ago' as times before it.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
+    number = plain.try_cast("double")
     epoch = F.when(number > 1e12, F.timestamp_millis(number.cast("long"))).otherwise(F.timestamp_seconds(number))
-    return F.coalesce(F.when(number.isNull(), F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS), text.try_cast("timestamp"))), F.when(number.isNotNull() & ~text.rlike(r"^\d{14}$"), epoch), F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss")))
+    compact = [F.when(plain.rlike(rf"^\d{{{n}}}$"), F.try_to_timestamp(plain, F.lit(f))) for n, f in COMPACT.items()]
+    forms = [F.when(number.isNull(), F.try_to_timestamp(plain, F.lit(f))) for f in TIME_FORMATS]
+    if year is not None:
+        forms.append(F.try_to_timestamp(F.concat(F.lit(f"{year} "), plain), F.lit("yyyy MMM d HH:mm:ss")))
+    if now is not None:
+        ago = [F.regexp_extract(plain, pattern, i) for pattern in (r"^-(\d+)([smhdw])$", r"^(\d+) (s|m|h|d|w)(?:econd|inute|our|ay|eek)s? ago$") for i in (1, 2)]
+        n, unit = F.coalesce(F.nullif(ago[0], F.lit("")), ago[2]), F.coalesce(F.nullif(ago[1], F.lit("")), ago[3])
+        seconds = n.try_cast("double") * reduce(lambda c, u: c.when(unit == u, _SECONDS[u]), "smhdw", F.when(F.lit(False), 0))
+        at = now.cast("timestamp")
+        forms += [F.when(plain == "now", at), F.timestamp_micros(F.unix_micros(at) - (seconds * 1_000_000).cast("long"))]
+    return F.coalesce(*compact, F.when(number.isNull(), plain.try_cast("timestamp")), *forms, epoch)
 
 
 def floor_to(at: Column, seconds: int) -> Column:
@@ -180,17 +201,47 @@ def incident_priority(impact: Column, urgency: Column) -> Column:
     return F.when(score >= 12, "P1").when(score >= 8, "P2").when(score >= 4, "P3").otherwise("P4")
 
 
+# The forms of valid values, and the values of lists.
 VALID = {
-    "ip": r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$",
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$",
     "url": r"^https?://[^\s/$.?#][^\s]*$",
-    "hostname": r"^[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*$",
+    "hostname": r"^(?=.{1,253}$)[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*$",
     "mac": r"^(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$",
     "uuid": r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    "hash": r"^(?:[A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64})$",
+    "hash": r"^(?:[A-Fa-f0-9]{32}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{64}|[A-Fa-f0-9]{128})$",
     "username": r"^[A-Za-z0-9._-]{1,64}$",
+    "rule_name": r"(?s)^.{3,200}$",
 }
+_IP4 = r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)$"
+SEVERITIES = ("critical", "high", "medium", "low", "info", "debug", "emergency", "alert", "error", "warning", "notice")
+EVENT_TYPES = (
+    "authentication", "authorization", "network", "system", "file", "process", "registry", "database", "web", "email", "dns", "vpn", "firewall", "ids_ips", "av_malware", "dlp", "audit", "cloud",
+    "container", "application", "other", "unknown",
+)
+#: Kinds of hash that hashed() gives.
+HASHES = {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "base64": lambda c: F.base64(c.cast("binary"))}
 
 
 def valid(kind: str, c: Column) -> Column:
-    return F.coalesce(c.rlike(VALID[kind]), F.lit(False))
+    """Whether a text, without the spaces around it, is a valid value of a kind; a null is none."""
+    text = F.trim(c.cast("string"))
+    is_ip = lambda x: x.rlike(_IP4) | ip6_digits(x).isNotNull()
+    if kind == "ip":
+        found = is_ip(text)
+    elif kind == "cidr":
+        base, bits = F.substring_index(text, "/", 1), F.regexp_extract(text, r"^[^/]*/(\d{1,3})$", 1).try_cast("int")
+        found = is_ip(base) & (~text.contains("/") | bits.between(0, F.when(base.contains(":"), 128).otherwise(32)))
+    elif kind == "port":
+        found = text.rlike(r"^\d+$") & text.try_cast("int").between(0, 65535)
+    elif kind == "severity":
+        found = F.lower(text).isin(*SEVERITIES)
+    elif kind == "event_type":
+        found = F.lower(text).isin(*EVENT_TYPES)
+    else:
+        found = text.rlike(VALID[kind])
+    return F.coalesce(found, F.lit(False))
+
+
+def hashed(c: Column, kind: str = "sha256") -> Column:
+    """A hash of a text's UTF-8 bytes in hexadecimal digits, or the text in base 64."""
+    return HASHES[kind](c)

@@ -40,6 +40,23 @@ def rollup_buckets(df: DataFrame, intervals: tuple[int, ...] = INTERVALS, groups
         F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
+# Numeric fields of events.
+NUMBERS = ("bytes_sent", "bytes_received", "packets_sent", "packets_received", "duration", "risk_score", "status_code")
+
+
+def rollup_numbers(df: DataFrame, intervals: tuple[int, ...] = INTERVALS, groups: tuple[str, ...] = GROUP_FIELDS, numbers: tuple[str, ...] = NUMBERS) -> DataFrame:
+    """As rollup_buckets, with sum, min and max of each numeric field that df has, as doubles; values that are no numbers do not count."""
+    have = [n for n in numbers if n in df.columns]
+    keys = [F.coalesce(F.col(g).cast("string"), F.lit("*")).alias(g) for g in groups]
+    value = lambda n: F.col(n).try_cast("double")
+    first = df.groupBy(floor_to(F.col("timestamp"), min(intervals)).alias("bucket"), *keys).agg(
+        F.count("*").alias("n"), *(f(value(n)).alias(f"{n}_{k}") for n in have for k, f in (("sum", F.sum), ("min", F.min), ("max", F.max)))
+    )
+    wide = first.withColumn("seconds", F.explode(F.array(*map(F.lit, intervals))))
+    wide = wide.withColumn("bucket", F.timestamp_seconds(F.floor(F.unix_timestamp("bucket") / F.col("seconds")) * F.col("seconds")))
+    return wide.groupBy("seconds", "bucket", *groups).agg(F.sum("n").alias("n"), *(f(f"{n}_{k}").alias(f"{n}_{k}") for n in have for k, f in (("sum", F.sum), ("min", F.min), ("max", F.max))))
+
+
 def counts_by(buckets: DataFrame, seconds: int, name: str) -> DataFrame:
     return buckets.where(F.col("seconds") == seconds).groupBy(name).agg(F.sum("n").alias("n"))
 

@@ -26,6 +26,10 @@ _add("a08_top_values", lambda df: aggregates.top_values(df, "source_ip", 10), "S
 _BUCKETS = """, b AS (SELECT seconds, (floor(epoch(timestamp))::BIGINT // seconds) * seconds AS bucket, source_ip, event_type, severity, action, count(*) AS n, sum(bytes_sent)::BIGINT AS total, min(bytes_sent) AS least, max(bytes_sent) AS most
   FROM canon, (VALUES (60), (300), (3600)) AS v(seconds) GROUP BY ALL) """
 _add("a09_buckets", lambda df: aggregates.rollup_buckets(df).select("seconds", F.unix_timestamp("bucket").alias("bucket"), "source_ip", "event_type", "severity", "action", "n", "total", "least", "most"), _BUCKETS + "SELECT * FROM b")
+_NUMBERS = {"bytes_received": "bytes_sent % 1000", "packets_sent": "event_id % 11", "packets_received": "user_id % 7", "duration": "event_id % 90", "risk_score": "user_id % 101", "status_code": "CASE WHEN event_id % 4 > 0 THEN 100 * (event_id % 5) END"}
+_add("a09_numbers", lambda df: aggregates.rollup_numbers(df.withColumns({k: F.expr(v) for k, v in _NUMBERS.items()})).withColumn("bucket", F.unix_timestamp("bucket")),
+     ", v AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _NUMBERS.items()) + " FROM canon) SELECT seconds, (floor(epoch(timestamp))::BIGINT // seconds) * seconds AS bucket, source_ip, event_type, severity, action, count(*) AS n, "
+     + ", ".join(f"{f}({k})::DOUBLE AS {k}_{f}" for k in ("bytes_sent", *_NUMBERS) for f in ("sum", "min", "max")) + " FROM v, (VALUES (60), (300), (3600)) AS t(seconds) GROUP BY ALL")
 _add("a10_timeseries", lambda df: aggregates.rollup_buckets(df).where("seconds = 3600 AND event_type = 'network'").groupBy(F.unix_timestamp("bucket").alias("bucket")).agg(F.sum("n").alias("n")), _BUCKETS + "SELECT bucket, sum(n)::BIGINT AS n FROM b WHERE seconds = 3600 AND event_type = 'network' GROUP BY 1")
 _add("a11_counts_by", lambda df: aggregates.counts_by(aggregates.rollup_buckets(df), 300, "severity"), _BUCKETS + "SELECT severity, sum(n)::BIGINT AS n FROM b WHERE seconds = 300 GROUP BY 1")
 _add("a12_rate", lambda df: aggregates.rate(aggregates.rollup_buckets(df), 300), _BUCKETS + "SELECT sum(n) / (count(DISTINCT bucket) * 300.0) AS rate FROM b WHERE seconds = 300")

@@ -101,7 +101,8 @@ _scalar("u27_severity_rank", lambda: F.coalesce(lookups.mapped(lookups.SEVERITY_
 
 # Rules
 _OFF = rules.Rule("X", "low", ((("action", "eq", "read"),),), enabled=False)
-_add("r26_gate", lambda df: df.where(_OFF.matches(set(df.columns)) | rules.Rule("Y", "low", ()).matches(set(df.columns))).select("event_id"), "SELECT event_id FROM canon WHERE false")
+_ON = rules.Rule("ON", "low", ((("action", "eq", "write"),),))
+_add("r26_gate", lambda df: rules.detect(df, [_ON, _OFF, rules.Rule("Y", "low", ())]).select("rule_id", "event_id"), "SELECT 'ON' AS rule_id, event_id FROM canon WHERE action = 'write'")
 _add("r27_validation", lambda df: df.sparkSession.createDataFrame([(r.rule_id or "none", len(r.errors())) for r in (*catalogue.RULES[:3], rules.Rule("", "odd", ((("a", "none", 1),),)), rules.Rule("Z", "low", (), "correlation"))], "rule_id string, n_errors int").where("n_errors > 0"), "SELECT * FROM (VALUES ('none', 3), ('Z', 2)) AS v(rule_id, n_errors)")
 _FLAT = {"rule_id": "A", "severity": "low", "conditions": [{"field": "action", "value": "read"}, {"field": "dest_port", "operator": "lt", "value": 100}], "actions": ["alert", "tag"]}
 _NESTED = _FLAT | {"rule_id": "B", "conditions": [[{"field": "action", "value": "write"}], [{"field": "dest_port", "value": 445}]], "actions": ["block"]}
@@ -177,7 +178,18 @@ _EXPORT = "SELECT event_id, action FROM canon"
 _add("s09_trail_export", _records(('{"Records":', "}"), "Records"), _EXPORT)
 _add("s10_log_groups_export", _records(('{"events":', "}"), "events"), _EXPORT)
 _add("s11_entries_export", _records(('{"entries":', "}"), "entries"), _EXPORT)
-_add("s12_tables_export", _records(('{"tables":[{"rows":', "}]}"), "tables[0].rows"), _EXPORT)
+
+
+def _tables(df):
+    """Documents of one table each, of about 100 rows whose cells are named by its columns."""
+    rows = df.groupBy(F.floor(F.col("event_id") / 100).alias("g")).agg(F.to_json(F.collect_list(F.array(F.col("event_id").cast("string"), "dest_ip", "action"))).alias("r"))
+    head = '{"tables":[{"name":"t","columns":[{"name":"event_id","type":"long"},{"name":"dest_ip"},{"name":"action"}],"rows":'
+    docs = rows.select(F.concat(F.lit(head), "r", F.lit("}]}")).alias("value")).repartition("value")
+    out = _written(docs, lambda d, p: d.write.option("maxRecordsPerFile", 1).text(p), readers.read_tables)
+    return out.select(F.get_json_object("raw", "$.event_id").cast("bigint").alias("event_id"), F.get_json_object("raw", "$.dest_ip").alias("dest_ip"), F.get_json_object("raw", "$.action").alias("action"))
+
+
+_add("s12_tables_export", _tables, "SELECT event_id, dest_ip, action FROM canon")
 _XML = "concat('<Event><System><EventID>4624</EventID><Computer>h', user_id, '</Computer></System></Event>')"
 _windows_export = lambda df: parsers.parsed(_written(df, lambda d, p: d.selectExpr(f"{_XML} AS value").write.text(p), readers.read_lines)).groupBy(F.col("fields")["source_host"].alias("host"), F.col("fields")["action"].alias("action")).agg(F.count("*").alias("n"))
 for _name in ("s13_windows_export", "s14_windows_channel"):

@@ -12,6 +12,7 @@ from ..sources import parsers, readers, sinks
 from ..streaming import streams
 from ..shared import shared_base
 from .canonical import WITH, canonical
+from .queries_analytics import _HITS, _greedy_sql
 
 QUERIES, SQL = {}, {}
 
@@ -47,11 +48,17 @@ _scalar("u17_is_internal", lambda: scalars.is_internal(F.col("source_ip")), "sou
 _scalar("u17_ip_class", lambda: scalars.ip_class(F.coalesce(F.col("dest_ip"), F.lit("no"))), "CASE WHEN dest_ip IS NULL THEN 'invalid' WHEN dest_ip LIKE '192.168.%' THEN 'private' ELSE 'public' END")
 _scalar("u18_valid_ip", lambda: scalars.valid("ip", F.concat(F.col("source_ip"), F.when(F.col("event_id") % 3 == 0, ".9").otherwise(""))), "event_id % 3 <> 0")
 _scalar("u18_valid_email", lambda: scalars.valid("email", F.concat(F.col("source_user"), F.when(F.col("event_id") % 2 == 0, "@example.org").otherwise("@x"))), "event_id % 2 = 0")
-_scalar("u18_valid_uuid", lambda: scalars.valid("uuid", F.col("message")), "false")
+_scalar("u18_valid_uuid", lambda: scalars.valid("uuid", F.concat(F.lpad(F.col("event_id").cast("string"), 8, "0"), F.lit("-0000-4abc-8def-"), F.when(F.col("event_id") % 3 == 0, "00000000000G").otherwise("0123456789AB"))), "event_id % 3 <> 0")
+_scalar("u18_valid_ip6", lambda: scalars.valid("ip", F.concat(F.lit("2001:db8::"), F.lower(F.hex("user_id")), F.when(F.col("event_id") % 4 == 0, "::1").when(F.col("event_id") % 4 == 1, ":1:2:3:4:5:6").otherwise(""))), "event_id % 4 > 1")
+_scalar("u18_valid_cidr", lambda: scalars.valid("cidr", F.concat("source_ip", F.lit("/"), (F.col("event_id") % 50).cast("string"))), "event_id % 50 <= 32")
+_scalar("u18_valid_port", lambda: scalars.valid("port", ((F.col("event_id") % 9) * 10_000).cast("string")), "event_id % 9 < 7")
+_scalar("u18_valid_names", lambda: F.concat_ws(",", *(scalars.valid(k, c).cast("string") for k, c in (("severity", F.upper("severity")), ("event_type", F.col("action")), ("event_type", F.col("event_type")), ("rule_name", F.substring("message", 1, (F.col("event_id") % 5).cast("int")))))), "concat_ws(',', 'true', 'false', 'true', CASE WHEN event_id % 5 >= 3 THEN 'true' ELSE 'false' END)")
+_TIMES = ("yyyy/MM/dd HH:mm:ss", "dd/MMM/yyyy:HH:mm:ss", "MMM d yyyy HH:mm:ss", "dd-MMM-yyyy HH:mm:ss", "EEE MMM d HH:mm:ss yyyy", "yyyyMMddHHmmss", "yyyy-MM-dd'T'HH:mm:ss", "MMM d HH:mm:ss")
+_scalar("u01_time_forms", lambda: scalars.parse_time(F.element_at(F.array(*(F.date_format("timestamp", f) for f in _TIMES)), (F.col("event_id") % len(_TIMES) + 1).cast("int")), 2024).cast("timestamp_ntz"), "date_trunc('second', timestamp)")
 _scalar("u19_sql_injection", lambda: scalars.has_sql_injection(F.concat(F.col("message"), F.when(F.col("event_id") % 4 == 0, " UNION ALL SELECT 1").otherwise(""))), "event_id % 4 = 0")
 _scalar("u19_xss", lambda: scalars.has_xss(F.concat(F.col("message"), F.when(F.col("event_id") % 4 == 0, "<ScRipt>").otherwise(""))), "event_id % 4 = 0")
 _scalar("u20_escape_html", lambda: scalars.escape_html(F.concat(F.lit("<"), F.col("action"), F.lit("&>"))), "concat('&lt;', action, '&amp;&gt;')")
-_scalar("u21_hashes", lambda: F.concat_ws("|", F.md5("message"), F.sha2("message", 256), F.base64(F.col("action").cast("binary"))), "concat_ws('|', md5(message), sha256(message), to_base64(action::BLOB))")
+_scalar("u21_hashes", lambda: F.concat_ws("|", *(scalars.hashed(F.col("message"), k) for k in ("md5", "sha1", "sha256")), scalars.hashed(F.col("action"), "base64")), "concat_ws('|', md5(message), sha1(message), sha256(message), to_base64(action::BLOB))")
 _scalar("u24_protocol", lambda: scalars.protocol_name(F.element_at(F.array(F.lit(6), F.lit(17), F.lit(1), F.lit(99)), (F.col("event_id") % 4 + 1).cast("int"))), "CASE event_id % 4 WHEN 0 THEN 'TCP' WHEN 1 THEN 'UDP' WHEN 2 THEN 'ICMP' ELSE '99' END")
 _scalar("u25_time_tags", lambda: F.array_join(scalars.time_tags(F.col("timestamp")), ","), "concat_ws(',', CASE WHEN hour(timestamp) < 6 OR hour(timestamp) >= 22 THEN 'off_hours' END, CASE WHEN isodow(timestamp) > 5 THEN 'weekend' END)")
 _scalar("u26_priority", lambda: scalars.incident_priority(F.col("event_id") % 4 + 1, F.col("user_id") % 4 + 1), "CASE WHEN (event_id % 4 + 1) * (user_id % 4 + 1) >= 12 THEN 'P1' WHEN (event_id % 4 + 1) * (user_id % 4 + 1) >= 8 THEN 'P2' WHEN (event_id % 4 + 1) * (user_id % 4 + 1) >= 4 THEN 'P3' ELSE 'P4' END")
@@ -121,8 +128,8 @@ _add("t17_retention", lambda df: sinks.retained(df, F.lit("2024-02-09").cast("ti
 _add("k05_export", lambda df: df.select("event_id", F.to_json(F.struct("action", "severity")).alias("line")), "SELECT event_id, concat('{\"action\":\"', action, '\",\"severity\":\"', severity, '\"}') AS line FROM canon")
 
 
-def _streamed(df, make, mode="append"):
-    """Runs a stream over the canonical rows, written once as its source, until all are read."""
+def _streamed(df, make, mode="append", key=None):
+    """Runs a stream over the canonical rows, written once as its source, until all are read. key: columns of which the last batch's row counts, as update mode needs."""
     spark = df.sparkSession
     base = shared_base(spark)
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -131,11 +138,15 @@ def _streamed(df, make, mode="append"):
     stream = make(spark.readStream.schema(ready.schema).parquet(f"{path}/in"))
     query = stream.writeStream.outputMode(mode).foreachBatch(sinks.each_batch(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/out")
+    if not key:
+        return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{path}/out")
+    return streams.latest(spark.read.parquet(f"{path}/out"), key)
 
 
-_add("t16_stream_buckets", lambda df: _streamed(df, lambda s: streams.bucket_stream(s, 3600, ["event_type"], "1 minute"), "append").groupBy("event_type").agg(F.sum("n").alias("n")))
-_add("t07_stream_dedup", lambda df: _streamed(df, lambda s: streams.dedup_stream(s, ["event_id"], "40 days")).select("event_id"), "SELECT event_id FROM canon")
+_add("t16_stream_buckets", lambda df: _streamed(df, lambda s: streams.bucket_stream(s, 3600, ["event_type"], "1 minute"), "update", ["window", "event_type"]).select(F.unix_timestamp("window.start").alias("bucket"), "event_type", "n", "total"),
+     "SELECT (floor(epoch(timestamp))::BIGINT // 3600) * 3600 AS bucket, event_type, count(*) AS n, sum(bytes_sent)::BIGINT AS total FROM canon GROUP BY ALL")
+_add("t07_stream_dedup", lambda df: _streamed(df.unionByName(df.where("event_id % 3 = 0")), lambda s: streams.dedup_stream(s, ["event_id"], "40 days")).select("event_id", "action"), "SELECT event_id, action FROM canon")
 _BF = rules.Rule("BF", "high", ((("action", "eq", "logon_failed"),),), "correlation", window=36000, threshold=2, group_by=("source_ip",))
 _add("t03_stream_correlation", lambda df: _streamed(df, lambda s: streams.correlate_stream(s, _BF, "40 days")).select("group_key", "n"))
+SQL["t03_stream_correlation"] = "WITH " + _greedy_sql(_HITS + ", c0 AS (SELECT source_ip AS group_key, timestamp, event_id, n FROM h WHERE n >= 2)", "group_key", 18000, "group_key, n")
 _add("s19_rules", lambda df: df.sparkSession.createDataFrame([(r.rule_id, r.rule_type, r.severity) for r in catalogue.RULES], "rule_id string, rule_type string, severity string").groupBy("rule_type").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('detection', 22), ('threat_intel', 3), ('correlation', 15)) AS v(rule_type, n)")

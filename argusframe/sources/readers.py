@@ -33,6 +33,16 @@ def read_records(spark: SparkSession, path: str, root: str | None = None) -> Dat
     return _with_metadata(docs.select(F.explode(records).alias("value")), path, "export")
 
 
+def read_tables(spark: SparkSession, path: str) -> DataFrame:
+    """Exports of log queries: JSON documents of tables, each with columns and rows; one row for each, as JSON with the columns' names."""
+    docs = spark.read.text(path, wholetext=True)
+    kind = "struct<tables: array<struct<columns: array<struct<name: string>>, rows: array<array<string>>>>>"
+    tables = docs.select(F.explode(F.from_json("value", kind)["tables"]).alias("t"))
+    rows = tables.select(F.col("t.columns.name").alias("names"), F.explode("t.rows").alias("cells"))
+    fits = F.transform(F.col("names"), lambda _, i: F.get("cells", i))  # a short row has nulls at its end
+    return _with_metadata(rows.select(F.to_json(F.map_from_arrays("names", fits)).alias("value")), path, "export")
+
+
 def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
     """Newline-framed syslog over TCP."""
     return _with_metadata(spark.readStream.format("socket").option("host", host).option("port", port).load(), f"{host}:{port}", "syslog")

@@ -17,6 +17,12 @@ def bucket_stream(events: DataFrame, seconds: int, groups: list[str], late: str
     return events.withWatermark("timestamp", late).groupBy(F.window("timestamp", f"{seconds} seconds"), *groups).agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("total"))
 
 
+def latest(written: DataFrame, key: list[str], batch: str = "batch") -> DataFrame:
+    """Of what a stream in update mode wrote, batch by batch, the last row of each key: open windows too, which append mode holds back until time moves on."""
+    rest = [c for c in written.columns if c not in (*key, batch)]
+    return written.groupBy(*key).agg(F.max_by(F.struct(*rest), batch).alias("_last")).select(*key, "_last.*")
+
+
 def dedup_stream(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(keys)
 
