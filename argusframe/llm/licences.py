@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,7 +112,9 @@ def bodies() -> list[tuple[str, str]]:
     texts = [(licence, (folder / name).read_text("utf-8", "replace")) for name, licence in TEXTS.items()]
     short = [(n, t) for n, t in [*KNOWN, *texts] if n in TITLES and len(t) > 500 and not t.startswith(tuple(TITLES[n]))]
     cut = [(n, t[: t.index(_LAST)] + _LAST) for n, t in texts if _LAST in t] + [(n, t[t.index(_FIRST) :]) for n, t in texts if _FIRST in t]
-    return texts + cut + [(n, f"{title}\n{t}") for n, t in short for title in TITLES[n]]
+    found = texts + cut + [(n, f"{title}\n{t}") for n, t in short for title in TITLES[n]]
+    # some reserve all rights themselves; a copy may say so elsewhere
+    return found + [(n, bare) for n, t in found if (bare := re.sub(RESERVED_LINE, r"\1", t.lower())) != t.lower()]
 
 
 def _steps() -> list[tuple[str, str]]:
@@ -149,7 +152,10 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 def licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
     """id, digest, licence (of the entire text, null if unknown) and notices (licences of single lines, sorted, comma-joined).
 
-    A null text counts as empty; the empty text is no licence. A line is a notice if its canonical form is that of a known text.
+    A null text counts as empty; the empty text is no licence. A line is a notice if its canonical form is that of a known
+    text; a text is a licence with and without a line that reserves all rights under one that says whose they are. Repeated
+    rows give a row each, null ids stay null, and texts may be of any length. An empty table gives no rows; other columns
+    of docs play no part, whatever their names. known: texts to know instead of the ready ones, a few hundred at most.
     """
     spark = docs.sparkSession
     table = saved(known_digests(spark, known), "licences_known")

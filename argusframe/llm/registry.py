@@ -39,6 +39,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_exact_dedup": dedup.OP1_SQL, "op4_licences": privacy.OP4_SQL, "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL, "op12_suffix_dedup": dedup.OP12_SQL,
+        "op1_exact_dedup": dedup.OP1_SQL, "op4_licences": privacy.op4_sql(), "op6_mixing": corpus.OP6_SQL, "op8_quality": corpus.OP8_SQL, "op12_suffix_dedup": dedup.OP12_SQL,
         "op13_prefix_trie": conversations.OP13_SQL,
     }
