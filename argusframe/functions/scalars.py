@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.predicates import cidr6_digits, cidr_range, ip6_digits, ip_number
 
@@ -84,7 +87,7 @@ def parse_time(text: Column, year: int | None = None, now: Column | None = None)
         n, unit = F.coalesce(F.nullif(ago[0], F.lit("")), ago[2]), F.coalesce(F.nullif(ago[1], F.lit("")), ago[3])
         seconds = n.try_cast("double") * reduce(lambda c, u: c.when(unit == u, _SECONDS[u]), "smhdw", F.when(F.lit(False), 0))
         at = now.cast("timestamp")
-        forms += [F.when(plain == "now", at), F.timestamp_micros(F.unix_micros(at) - (seconds * 1_000_000).cast("long"))]
+        compact += [F.when(plain == "now", at), F.timestamp_micros(F.unix_micros(at) - (seconds * 1_000_000).cast("long"))]
     return F.coalesce(*compact, F.when(number.isNull(), plain.try_cast("timestamp")), *forms, epoch)
 
 
@@ -245,3 +248,78 @@ def valid(kind: str, c: Column) -> Column:
 def hashed(c: Column, kind: str = "sha256") -> Column:
     """A hash of a text's UTF-8 bytes in hexadecimal digits, or the text in base 64."""
     return HASHES[kind](c)
+
+
+def _parts(path: str) -> list[str]:
+    """A dotted path's keys; a dot or backslash that belongs to a key has a backslash before it."""
+    parts, plain = [""], iter(path)
+    for c in plain:
+        if c == ".":
+            parts.append("")
+        else:
+            parts[-1] += next(plain, "") if c == "\\" else c
+    return parts
+
+
+def _flat(value: object, path: str, out: dict[str, str]) -> None:
+    if isinstance(value, dict) and value:
+        for k, v in value.items():
+            key = re.sub(r"([.\\])", r"\\\1", k)
+            _flat(v, f"{path}.{key}" if path else key, out)
+    else:
+        out[path] = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _put(tree: dict, path: str, value: object) -> dict:
+    *above, last = _parts(path)
+    at = tree
+    for k in above:
+        if not isinstance(at.get(k), dict):
+            at[k] = {}
+        at = at[k]
+    at[last] = value
+    return tree
+
+
+def _loaded(text: str | None) -> object:
+    try:
+        return json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def flattened_json(texts: pd.Series) -> pd.Series:
+    """The values of a JSON object, as JSON, by dotted paths; lists and empty objects stay whole. Null if it is no object."""
+    out: list[dict | None] = []
+    for text in texts:
+        value = _loaded(text)
+        out.append({} if isinstance(value, dict) else None)
+        if value and isinstance(value, dict):
+            _flat(value, "", out[-1])
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def unflattened_json(maps: pd.Series) -> pd.Series:
+    """The JSON object of values by dotted paths: what flattened_json gave gives the object again."""
+
+    def tree(m: dict | None) -> str | None:
+        if m is None:
+            return None
+        out: dict = {}
+        for path, value in dict(m).items():
+            _put(out, path, _loaded(value))
+        return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+
+    return pd.Series([tree(m) for m in maps], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def deep_set(texts: pd.Series, paths: pd.Series, values: pd.Series) -> pd.Series:
+    """A JSON object with a value (JSON) at a dotted path; objects on the way are made, and other values there replaced. What is no object counts as an empty one."""
+    out = []
+    for text, path, value in zip(texts, paths, values, strict=True):
+        tree = _loaded(text)
+        out.append(json.dumps(_put(tree if isinstance(tree, dict) else {}, path, _loaded(value)), ensure_ascii=False, separators=(",", ":")))
+    return pd.Series(out, dtype=object)

@@ -19,13 +19,18 @@ def latest(versions: DataFrame, key: str = "alert_id", version: str = "updated_a
 
 
 def merged(alerts: DataFrame, by: list[str]) -> DataFrame:
-    """One alert for each group: all event ids, time bounds, largest risk and severity."""
+    """One alert for each group: time bounds, largest risk and severity, and how many alerts and different events there are. Which they are, members() says."""
     names = {v: k for k, v in SEVERITY_RANK.items()}
-    out = alerts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_set("event_id")), lambda x: x.cast("string")), ",").alias("event_ids"), F.min("timestamp").alias("first_seen"),
-                                  F.max("timestamp").alias("last_seen"), F.max("alert_risk").alias("risk"), F.max(mapped(SEVERITY_RANK, F.col("alert_severity"))).alias("_s"), F.count("*").alias("n"))
+    each = alerts.groupBy(*by, "event_id").agg(F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.max("alert_risk").alias("risk"), F.max(mapped(SEVERITY_RANK, F.col("alert_severity"))).alias("_s"), F.count("*").alias("n"))
+    out = each.groupBy(*by).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("risk").alias("risk"), F.max("_s").alias("_s"), F.sum("n").alias("n"), F.count("event_id").alias("n_events"))
     return out.withColumn("severity", mapped(names, F.col("_s"))).drop("_s")
 
 
+def members(alerts: DataFrame, by: list[str]) -> DataFrame:
+    """The events of each merged alert, a row each: a table beside merged() that grows with the alerts, where a list in each row would grow with its group."""
+    return alerts.where(F.col("event_id").isNotNull()).select(*by, "event_id").distinct()
+
+
 def due_for_escalation(alerts: DataFrame, now: Column) -> DataFrame:
     limit = mapped({k: v * 60 for k, v in ESCALATE_AFTER.items()}, F.col("alert_severity"))
     age = now.cast("timestamp").cast("double") - F.col("timestamp").cast("timestamp").cast("double")

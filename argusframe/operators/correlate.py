@@ -171,7 +171,21 @@ def dedup_alerts(alerts: DataFrame, seconds: float = 300, by: tuple[str, ...] =
     return greedy(alerts, list(by), seconds)
 
 
-def entity_sets(events: DataFrame, by: str, fields: tuple[str, ...] = ("source_ip", "dest_ip", "source_user")) -> DataFrame:
-    """Distinct entities and time bounds of each group."""
-    sets = [F.array_join(F.array_sort(F.collect_set(F.col(f).cast("string"))), ",").alias(f"{f}s") for f in fields]
-    return events.groupBy(by).agg(*sets, F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count("*").alias("n"))
+def entity_groups(events: DataFrame, by: str, fields: tuple[str, ...] = ("source_ip", "dest_ip", "source_user"), bits: int = 12) -> DataFrame:
+    """Time bounds and count of each group, and a sketch of the distinct values of each field, which merges() adds up further."""
+    sketches = [F.hll_sketch_agg(F.col(f).cast("string"), bits).alias(f"{f}s") for f in fields]
+    return events.groupBy(by).agg(F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count("*").alias("n"), *sketches)
+
+
+def merged_groups(groups: DataFrame, by: list[str], fields: tuple[str, ...] = ("source_ip", "dest_ip", "source_user")) -> DataFrame:
+    """entity_groups of several times or keys as one: bounds, count, and the estimated number of distinct values of each field."""
+    counts = [F.hll_sketch_estimate(F.hll_union_agg(f"{f}s")).alias(f"n_{f}s") for f in fields]
+    return groups.groupBy(*by).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"), *counts)
+
+
+def entities(events: DataFrame, by: str, fields: tuple[str, ...] = ("source_ip", "dest_ip", "source_user")) -> DataFrame:
+    """The distinct values of each group's fields, a row each: field, value, n, first_seen and last_seen. No list grows with a group."""
+    values = F.array_compact(F.array(*(F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))) for f in fields)))
+    rows = events.select(F.col(by).alias("_by"), "timestamp", F.explode(values).alias("v")).select("_by", "timestamp", "v.*")
+    out = rows.groupBy("_by", "field", "value").agg(F.count("*").alias("n"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
+    return out.withColumnRenamed("_by", by)

@@ -42,7 +42,11 @@ _add("a16_percentiles", lambda df: df.groupBy("event_type").agg(F.percentile("va
 _add("a17_median_iqr", lambda df: df.groupBy("severity").agg(F.median("value").alias("median"), (F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("iqr")), "SELECT severity, median(value) AS median, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM canon GROUP BY 1")
 _add("a18_stddev", lambda df: df.groupBy("source_user").agg(F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sample"), F.stddev_pop("value").alias("population")), "SELECT source_user, coalesce(stddev_samp(value), 0) AS sample, stddev_pop(value) AS population FROM canon GROUP BY 1")
 _add("a19_dashboard", aggregates.dashboard, "SELECT 'event_type' AS kind, event_type AS value, count(*) AS n FROM canon GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM canon GROUP BY 2")
-_add("a22_entity_sets", lambda df: correlate.entity_sets(df, "source_ip", ("dest_ip", "source_user")), "SELECT source_ip, coalesce(string_agg(DISTINCT dest_ip, ',' ORDER BY dest_ip), '') AS dest_ips, string_agg(DISTINCT source_user, ',' ORDER BY source_user) AS source_users, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS n FROM canon GROUP BY 1")
+_add("a22_entity_sets", lambda df: correlate.entities(df, "source_ip", ("dest_ip", "source_user")),
+     "SELECT source_ip, 'dest_ip' AS field, dest_ip AS value, count(*) AS n, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM canon WHERE dest_ip IS NOT NULL GROUP BY ALL UNION ALL SELECT source_ip, 'source_user', source_user, count(*), min(timestamp), max(timestamp) FROM canon GROUP BY ALL")
+# an estimate from merged sketches, held against the count: within a twentieth
+_add("a22_entity_sketches", lambda df: correlate.merged_groups(correlate.entity_groups(df, "event_type", ("source_ip", "source_user")).withColumn("k", F.lit(1)).join(df.agg(F.countDistinct("source_ip").alias("ips"), F.countDistinct("source_user").alias("users"), F.lit(1).alias("k")), "k"), ["ips", "users"], ("source_ip", "source_user")).select("n", "ips", "users", (F.abs(F.col("n_source_ips") - F.col("ips")) <= F.col("ips") / 20).alias("ips_near"), (F.abs(F.col("n_source_users") - F.col("users")) <= F.col("users") / 20).alias("users_near")),
+     "SELECT count(*) AS n, count(DISTINCT source_ip) AS ips, count(DISTINCT source_user) AS users, true AS ips_near, true AS users_near FROM canon")
 
 
 def _alerts(df):
@@ -50,7 +54,8 @@ def _alerts(df):
 
 
 _A = ", al AS (SELECT 'NET-002' AS rule_id, * FROM canon WHERE dest_port = 3389 AND NOT source_is_internal UNION ALL SELECT 'PRIV-002', * FROM canon WHERE action = 'user_created') "
-_add("a23_alert_merge", lambda df: alerts.merged(_alerts(df), ["rule_id", "source_ip"]), _A + "SELECT rule_id, source_ip, string_agg(DISTINCT event_id, ',' ORDER BY event_id) AS event_ids, min(timestamp) AS first_seen, max(timestamp) AS last_seen, 40.0 AS risk, count(*) AS n, 'high' AS severity FROM al GROUP BY 1, 2")
+_add("a23_alert_merge", lambda df: alerts.merged(_alerts(df), ["rule_id", "source_ip"]), _A + "SELECT rule_id, source_ip, min(timestamp) AS first_seen, max(timestamp) AS last_seen, 40.0 AS risk, count(*) AS n, count(DISTINCT event_id) AS n_events, 'high' AS severity FROM al GROUP BY 1, 2")
+_add("a23_alert_members", lambda df: alerts.members(_alerts(df), ["rule_id", "source_ip"]), _A + "SELECT DISTINCT rule_id, source_ip, event_id FROM al")
 _add("a24_incident_merge", lambda df: alerts.merged(_alerts(df), ["source_ip"]).select("source_ip", "n", "severity", "first_seen", "last_seen"), _A + "SELECT source_ip, count(*) AS n, 'high' AS severity, min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM al GROUP BY 1")
 _add("a25_group_progress", lambda df: df.where("action = 'logon_failed'").groupBy("source_user").agg((F.count("*") * 100 / 5).alias("percent")), "SELECT source_user, count(*) * 100 / 5 AS percent FROM canon WHERE action = 'logon_failed' GROUP BY 1")
 _add("t19_escalation_due", lambda df: alerts.due_for_escalation(_alerts(df), F.lit("2024-01-10").cast("timestamp")).select("rule_id", "event_id"), _A + "SELECT rule_id, event_id FROM al WHERE epoch(TIMESTAMP '2024-01-10') - epoch(timestamp) > 3600")

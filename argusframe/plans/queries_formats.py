@@ -94,6 +94,11 @@ _add("n13_promote", lambda df: normalise.promoted(df.select("event_id", F.create
 _add("u02_relative_time", lambda df: df.where(F.col("timestamp") >= F.lit(scalars.relative_time("10 days ago", NOW)).cast("timestamp_ntz")).select("event_id"), "SELECT event_id FROM canon WHERE timestamp >= TIMESTAMP '2024-01-10'")
 _scalar("u05_duration_text", lambda: scalars.duration_text(_pick(-1, 0, 61, 90061, 1209600)), "['unknown', '0 seconds', '1 minute, 1 second', '1 day, 1 hour', '2 weeks'][event_id % 5 + 1]")
 _add("u07_time_range", lambda df: df.where(F.col("timestamp").between(*(F.lit(x).cast("timestamp_ntz") for x in scalars.time_range(("-15d", "-10d"), NOW)))).select("event_id"), "SELECT event_id FROM canon WHERE timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'")
+_nested = lambda: F.concat(F.lit('{"a.b":{"c":'), F.coalesce("props", F.lit("{}")), F.lit(',"list":[1,{"x":null}],"user":"'), "source_user", F.lit('"},"n":'), F.col("event_id").cast("string"), F.lit("}"))
+_NESTED_SQL = """'{"a.b":{"c":' || coalesce(props, '{}') || ',"list":[1,{"x":null}],"user":"' || source_user || '"},"n":' || event_id || '}'"""
+_add("u10_unflatten", lambda df: df.select("event_id", scalars.unflattened_json(scalars.flattened_json(_nested())).alias("x")), f"SELECT event_id, json({_NESTED_SQL})::VARCHAR AS x FROM canon")
+_add("u10_paths", lambda df: df.select("event_id", F.explode(scalars.flattened_json(_nested())).alias("path", "value")).where("path NOT LIKE 'a\\\\\\\\.b.c.%'"), "SELECT event_id, unnest(['a\\.b.list', 'a\\.b.user', 'n']) AS path, unnest(['[1,{\"x\":null}]', '\"' || source_user || '\"', event_id::VARCHAR]) AS value FROM canon")
+_add("u09_deep_set", lambda df: df.select("event_id", scalars.deep_set(F.lit('{"a":{"b":1},"c":2}'), F.when(F.col("event_id") % 2 == 0, "a.d.e").otherwise("c.x"), F.col("event_id").cast("string")).alias("x")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"a\":{\"b\":1,\"d\":{\"e\":' || event_id || '}},\"c\":2}' ELSE '{\"a\":{\"b\":1},\"c\":{\"x\":' || event_id || '}}' END AS x FROM canon")
 _add("u10_flatten", lambda df: df.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value")), "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM canon")
 _add("u11_collections", lambda df: df.select("event_id", F.to_json(F.map_concat(F.create_map(F.lit("a"), "action"), F.create_map(F.lit("b"), "severity"))).alias("merged"), F.array_join(F.array_distinct(F.array("action", "severity", "action")), ",").alias("distinct"), F.size(F.transform(F.sequence(F.lit(0), F.lit(9), F.lit(4)), lambda i: F.slice(F.sequence(F.lit(1), F.lit(10)), i + 1, 4))).alias("chunks")),
      "SELECT event_id, concat('{\"a\":\"', action, '\",\"b\":\"', severity, '\"}') AS merged, concat(action, ',', severity) AS distinct, 3 AS chunks FROM canon")
@@ -135,6 +140,15 @@ _add("j15_unseen", lambda df: df.where("severity = 'high'").join(df.where("actio
 # Aggregates, windows, order
 _add("a03_avg", lambda df: df.groupBy("event_type").agg(F.coalesce(F.avg("dest_port"), F.lit(0.0)).alias("m")), "SELECT event_type, coalesce(avg(dest_port), 0) AS m FROM canon GROUP BY 1")
 _add("a04_min_max", lambda df: df.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most")), "SELECT event_type, min(value) AS least, max(value) AS most FROM canon GROUP BY 1")
+
+
+def _observed(df):
+    """The events written, and what the run that wrote them has counted."""
+    found = sinks.written_and_counted(df, _folder(df.sparkSession))
+    return df.sparkSession.createDataFrame([(found["n"], found["n_high"], found["n_failed"], found["total_bytes"])], "n long, n_high long, n_failed long, total_bytes long")
+
+
+_add("a26_observed", _observed, "SELECT count(*) AS n, count(*) FILTER (severity IN ('high', 'critical')) AS n_high, count(*) FILTER (result = 'failure') AS n_failed, sum(bytes_sent)::BIGINT AS total_bytes FROM canon")
 _add("a26_counters", lambda df: df.agg(F.count("*").alias("seen"), F.count_if(F.col("dest_ip").isNull()).alias("no_dest"), F.count_if(F.col("severity").isin("high", "critical")).alias("severe")), "SELECT count(*) AS seen, count(*) FILTER (dest_ip IS NULL) AS no_dest, count(*) FILTER (severity IN ('high', 'critical')) AS severe FROM canon")
 _add("w05_ewma_deviation", lambda df: windows.ewma_deviation(df, "value", "source_ip", BY).select("source_ip", F.round("deviation", 4).alias("d")), ", e AS (SELECT source_ip, list_reduce(list(value ORDER BY timestamp, event_id), lambda a, v: 0.3 * v + 0.7 * a) AS e, arg_max(value, struct_pack(t := timestamp, i := event_id)) AS v, stddev_samp(value) AS s FROM canon GROUP BY 1) SELECT source_ip, CASE WHEN s > 0 THEN round(abs(v - e) / s, 4) END AS d FROM e")
 _add("w07_baseline", lambda df: df.groupBy("source_user").agg(*(F.percentile("value", q / 100).alias(f"p{q}") for q in (25, 75, 95, 99))), f"SELECT source_user, {', '.join(f'quantile_cont(value, {q / 100}) AS p{q}' for q in (25, 75, 95, 99))} FROM canon GROUP BY 1")

@@ -1,4 +1,6 @@
 import datetime as dt
+import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +250,58 @@ def test_cef_values_cannot_pose_as_fields(spark, value):
     assert "\n" not in line.first().raw
     (found,) = parsers.parsed(line.withColumn("event_id", F.lit(1))).collect()
     assert (found.fields["source_ip"], found.fields["action"], found.fields["message"], found.fields["source_user"], found.fields["dest_user"]) == ("1.2.3.4", "deny", value, value, "t")
+
+
+@pytest.mark.parametrize("text", ['{"a":{"b.c":{"d\\\\":1.5,"":null}},"l":[1,{"x":2}],"e":{},"s":"é \\"q\\""}', "{}", '{"x":{"y":{"z":true}}}'])
+def test_flatten_then_unflatten_is_the_identity(spark, text):
+    flat = scalars.flattened_json(F.lit(text))
+    assert json.loads(spark.range(1).select(scalars.unflattened_json(flat)).first()[0]) == json.loads(text)
+
+
+def test_flatten_and_deep_set_of_odd_values(spark):
+    rows = [(None, "a", "1"), ("[1]", "a.b", '"x"'), ("no json", "a", "null"), ('{"a":5}', "a.b.c", "2"), ('{"a":{"b":1,"c":2}}', "a.b", '{"d":3}'), ("{}", "x\\.y", None)]
+    df = spark.createDataFrame(rows, "t string, p string, v string")
+    found = df.select(scalars.flattened_json("t").alias("f"), scalars.deep_set("t", "p", "v").alias("d")).collect()
+    assert [r.f for r in found] == [None, None, None, {"a": "5"}, {"a.b": "1", "a.c": "2"}, {}]
+    assert [r.d for r in found] == ['{"a":1}', '{"a":{"b":"x"}}', '{"a":null}', '{"a":{"b":{"c":2}}}', '{"a":{"b":{"d":3},"c":2}}', '{"x.y":null}']
+
+
+@pytest.mark.parametrize(("text", "seconds"), [
+    ("2024/01/15 10:30:00.250", 1705314600), ("15/Jan/2024:12:30:00 +0200", 1705314600), ("15/01/2024 10:30:00", 1705314600), ("01/15/2024 10:30:00 AM", 1705314600), ("Mon Jan 15 10:30:00 2024", 1705314600), ("Jan 15 2024 10:30:00", 1705314600),
+    ("15-Jan-2024 10:30:00", 1705314600), ("20240115", 1705276800), ("Jan  5 10:30:00", 1704450600), ("now", 1705314600), ("-5m", 1705314300), ("2 hours ago", 1705307400), ("2024-01-15T10:30", 1705314600), ("13/13/2024 00:00:00", None), ("", None),
+])
+def test_forms_of_times(spark, text, seconds):
+    assert one(spark, scalars.parse_time(F.lit(text), 2024, F.lit("2024-01-15 10:30:00")).cast("long")) == seconds
+
+
+@pytest.mark.parametrize(("kind", "text", "good"), [
+    ("ip", "2001:db8::1", True), ("ip", "1.2.3.256", False), ("ip", " 10.0.0.1 ", True), ("cidr", "10.0.0.0/33", False), ("cidr", "2001:db8::/129", False), ("cidr", "2001:db8::/32", True), ("cidr", "10.0.0.0/", False), ("port", "65536", False),
+    ("port", "0", True), ("severity", "HIGH", True), ("severity", "odd", False), ("rule_name", "ab", False), ("rule_name", "x" * 201, False), ("event_type", "DNS", True), ("hash", "a" * 128, True), ("hash", "a" * 127, False), ("ip", None, False),
+])
+def test_validators(spark, kind, text, good):
+    assert one(spark, scalars.valid(kind, F.lit(text).cast("string"))) is good
+
+
+def test_counters_of_a_stream(spark, tmp_path):
+    """What the batches of a stream have counted is what a count of the rows gives, late and repeated rows included."""
+    from argusframe.sources import sinks
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i % 50), "high" if i % 3 else "low", "failure" if i % 4 == 0 else None, i) for i in range(200)]
+    df = spark.createDataFrame([*rows, *rows[:20]], "event_id long, timestamp timestamp, severity string, result string, bytes_sent long")
+    for k in range(3):
+        df.where(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    listener = sinks.StreamCounters()
+    spark.streams.addListener(listener)
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    counted = stream.observe("events", *(c.alias(k) for k, c in sinks.counters().items()))
+    query = counted.writeStream.foreachBatch(sinks.each_batch(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    for _ in range(100):
+        if listener.totals().get("rows_read") == 220:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    found = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out")
+    want = found.agg(*(c.alias(k) for k, c in sinks.counters().items())).first().asDict()
+    assert {k.removeprefix("events."): v for k, v in listener.totals().items() if k.startswith("events.")} == want
+    assert want["n"] == 220 == listener.totals()["rows_read"]
