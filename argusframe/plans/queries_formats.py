@@ -189,6 +189,17 @@ _add("s03_file", lambda df: _written(df, _text, readers.read_lines).select("raw"
 _add("s04_directory", lambda df: _written(df, lambda d, p: _text(d, f"{p}/a/b"), lambda s, p: readers.read_lines(s, p, "*.txt", True)).select("raw"), _RAW)
 _add("s05_gzip", lambda df: _written(df, lambda d, p: _text(d, p, "gzip"), readers.read_lines).select("raw"), _RAW)
 _EXPORT = "SELECT event_id, action FROM canon"
+
+
+def _large(df):
+    """Documents of 5,000 records and other arrays, read in blocks."""
+    docs = df.groupBy(F.floor(F.col("event_id") / 5000).alias("g")).agg(F.to_json(F.collect_list(F.struct("event_id", "action", "message", F.struct(F.array(F.struct("severity")).alias("Records")).alias("in")))).alias("r"))
+    text = F.concat(F.lit('{"head":[{"a":[1]}],"Records":'), "r", F.lit(',"tail":[2]}'))
+    out = _written(docs, lambda d, p: d.select(text.alias("value")).repartition("value").write.option("maxRecordsPerFile", 1).text(p), lambda s, p: readers.read_array(s, p, "Records"))
+    return out.select(F.get_json_object("raw", "$.event_id").cast("bigint").alias("event_id"), F.get_json_object("raw", "$.action").alias("action"), F.get_json_object("raw", "$.in.Records[0].severity").alias("severity"))
+
+
+_add("s09_large_documents", _large, "SELECT event_id, action, severity FROM canon")
 _add("s09_trail_export", _records(('{"Records":', "}"), "Records"), _EXPORT)
 _add("s10_log_groups_export", _records(('{"events":', "}"), "events"), _EXPORT)
 _add("s11_entries_export", _records(('{"entries":', "}"), "entries"), _EXPORT)
