@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
-from .. import engine
+from .. import engine, store
 from ..functions import normalise
 from ..operators import catalogue, lookups, rules
+from ..shared import shared_base
 from ..sources import parsers
 from .canonical import WITH, canonical
 from .queries_analytics import _RISK
@@ -68,3 +72,34 @@ _add("j03_ioc_blocks", lambda df: lookups.match_indicators(df.select("event_id",
 _NESTED = [(0, 4294967295, "world"), (167772160, 184549375, "ten"), (167772160, 167837695, "first"), (167772161, 167772210, "few"), (758317056, 758382591, "blocks")]
 _add("j09_nested_ranges", lambda df: lookups.range_lookup(df, df.sparkSession.createDataFrame(_NESTED, "lo long, hi long, place string"), "source_ip").select("event_id", "place"),
      ", p AS (SELECT event_id, (SELECT sum(x::BIGINT * 256 ** (4 - i))::BIGINT FROM (SELECT unnest(string_split(source_ip, '.')) AS x, unnest([1, 2, 3, 4]) AS i)) AS n FROM canon), r(lo, hi, place) AS (VALUES " + ", ".join(map(str, _NESTED)) + ") SELECT event_id, arg_min(place, hi - lo) AS place FROM p JOIN r ON n BETWEEN lo AND hi GROUP BY 1")
+
+
+def _store(df) -> store.Store:
+    """The events in a new store, with two rules, one of them switched off, and their alerts."""
+    made = store.Store(df.sparkSession, f"{shared_base(df.sparkSession)}/store-{uuid.uuid4().hex}")
+    made.append_events(df)
+    made.put_rules([rules.Rule("W", "high", ((("action", "eq", "write"), ("severity", "in", ("high", "critical"))),)), rules.Rule("R", "low", ((("action", "eq", "read"),),)), rules.Rule("GONE", "low", ((("action", "eq", "connect"),),))])
+    made.switch("R", False)
+    made.remove_rule("GONE")
+    return made
+
+
+_NOON = dt.datetime(2024, 1, 10, 12)
+
+
+def _moved(df):
+    """Open alerts, of which every second event's are acknowledged and then every fifth event's resolved; resolved ones can't be acknowledged again."""
+    made = _store(df)
+    made.raise_alerts(made.run_rules(), _NOON)
+    some = lambda n: made.alerts().where(F.col("event_id") % n == 0)
+    made.acknowledge(some(2), "ann", _NOON)
+    made.resolve(some(5), "bob", _NOON)
+    made.acknowledge(some(5), "ann", _NOON)
+    return made.alerts().select("rule_id", "event_id", "status", "by", "alert_severity")
+
+
+_add("store_search", lambda df: _store(df).search("severity:high action!=read", dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20, 7), sort="-timestamp", limit=50, offset=10, fields=["event_id", "source_ip", "timestamp"]),
+     "SELECT event_id, source_ip, timestamp FROM canon WHERE severity = 'high' AND action <> 'read' AND timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-20 07:00:00' ORDER BY timestamp DESC, event_id LIMIT 50 OFFSET 10")
+_add("store_rule_test", lambda df: _store(df).test_rule({"rule_id": "T", "severity": "low", "enabled": False, "conditions": [{"field": "dest_port", "operator": "eq", "value": 22}]}).select("event_id"), "SELECT event_id FROM canon WHERE dest_port = 22")
+_add("store_run_rules", lambda df: _store(df).run_rules().select("rule_id", "event_id"), "SELECT 'W' AS rule_id, event_id FROM canon WHERE action = 'write' AND severity IN ('high', 'critical')")
+_add("store_alerts", _moved, "SELECT 'W' AS rule_id, event_id, CASE WHEN event_id % 5 = 0 THEN 'resolved' WHEN event_id % 2 = 0 THEN 'acknowledged' ELSE 'open' END AS status, CASE WHEN event_id % 5 = 0 THEN 'bob' WHEN event_id % 2 = 0 THEN 'ann' END AS by, 'high' AS alert_severity FROM canon WHERE action = 'write' AND severity IN ('high', 'critical')")

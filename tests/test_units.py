@@ -305,3 +305,36 @@ def test_counters_of_a_stream(spark, tmp_path):
     want = found.agg(*(c.alias(k) for k, c in sinks.counters().items())).first().asDict()
     assert {k.removeprefix("events."): v for k, v in listener.totals().items() if k.startswith("events.")} == want
     assert want["n"] == 220 == listener.totals()["rows_read"]
+
+
+def test_store_refuses_what_is_wrong(spark, tmp_path):
+    """Rules with errors, unknown rules and states; versions of rules; an alert raised twice is one; rules read back as they were put."""
+    from argusframe.store import Store
+
+    made = Store(spark, str(tmp_path))
+    assert made.rules() == []
+    rule = rules.Rule("A", "high", ((("action", "in", ("read", "write")),),), confidence=0.5, group_by=("source_ip",), suppress=60)
+    with pytest.raises(ValueError, match="unknown severity"):
+        made.put_rules([rule, rules.Rule("B", "odd", rule.conditions)])
+    with pytest.raises(KeyError):
+        made.switch("A", True)
+    made.put_rules([rule])
+    made.switch("A", False)
+    (found,) = made.rules()
+    assert (found.enabled, found.conditions, found.confidence, found.group_by, found.suppress) == (False, ((("action", "in", ["read", "write"]),),), 0.5, ("source_ip",), 60)
+    made.remove_rule("A")
+    assert made.rules() == []
+    with pytest.raises(KeyError):
+        made.remove_rule("A")
+    made.put_rules([rule])
+    events = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "read", "1.1.1.1"), (2, dt.datetime(2024, 1, 2), "x", None)], "event_id long, timestamp timestamp, action string, source_ip string")
+    made.append_events(events)
+    for _ in range(2):
+        made.raise_alerts(made.run_rules(), dt.datetime(2024, 1, 3))
+    assert [r.status for r in made.alerts().collect()] == ["open"]
+    with pytest.raises(ValueError, match="unknown state"):
+        made.move(made.alerts(), "odd", "ann")
+    made.resolve(made.alerts(), "ann")
+    made.acknowledge(made.alerts(), "bob")
+    assert [(r.status, r.by) for r in made.alerts("resolved", "high").collect()] == [("resolved", "ann")]
+    assert [r.event_id for r in made.events(until=dt.datetime(2024, 1, 2)).collect()] == [1] and made.event(2).count() == 1
