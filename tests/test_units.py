@@ -338,3 +338,11 @@ def test_store_refuses_what_is_wrong(spark, tmp_path):
     made.acknowledge(made.alerts(), "bob")
     assert [(r.status, r.by) for r in made.alerts("resolved", "high").collect()] == [("resolved", "ann")]
     assert [r.event_id for r in made.events(until=dt.datetime(2024, 1, 2)).collect()] == [1] and made.event(2).count() == 1
+
+
+def test_a_text_that_is_json_stays_a_text(spark):
+    """Objects are opened by their type; a message that looks like one, or is one, stays the message, at any depth."""
+    line = json.dumps({"message": json.dumps({"src": "6.6.6.6", "action": "drop"}), "a": {"x": {"y": 2}, "t": "{no", "u": '{"z":1}'}, "src": "1.2.3.4"})
+    found = one(spark, parsers.json_fields(F.lit(line)))
+    assert {k: found[k] for k in ("message", "source_ip", "a.x.y", "a.t", "a.u")} == {"message": '{"src": "6.6.6.6", "action": "drop"}', "source_ip": "1.2.3.4", "a.x.y": "2", "a.t": "{no", "a.u": '{"z":1}'}
+    assert "action" not in found and "a.u.z" not in found
