@@ -40,10 +40,11 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-#: Every string of 50 bytes, as hexadecimal digits, with the smallest doc_id that has it.
+#: Every string of 50 bytes, as hexadecimal digits, with the smallest doc_id that has it; texts are cut in pieces first, in which places are found faster.
 OP12_SQL = """
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, hex(encode(coalesce(text, ''))) AS x FROM documents),
-s AS (SELECT i, doc, p, substring(x, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(greatest(length(x) // 2 - 49, 0))) AS p FROM d)),
+c AS (SELECT i, doc, c, substring(x, 2 * c + 1, 1098) AS y FROM (SELECT *, unnest(range(0, greatest(length(x) // 2 - 49, 0), 500)) AS c FROM d)),
+s AS (SELECT i, doc, c + p AS p, substring(y, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(length(y) // 2 - 49)) AS p FROM c)),
 m AS (SELECT i, p FROM s JOIN (SELECT s, min(doc) AS least FROM s GROUP BY s HAVING count(*) > 1) USING (s) WHERE least < doc),
 r AS (SELECT i, p, sum(new) OVER (PARTITION BY i ORDER BY p) AS run FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY i ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM m)),
 g AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY i ORDER BY a) AS z FROM (SELECT i, run, min(p) AS a, max(p) + 50 AS e FROM r GROUP BY i, run)),
