@@ -146,6 +146,8 @@ def _streamed(df, make, mode="append", key=None):
 _add("t16_stream_buckets", lambda df: _streamed(df, lambda s: streams.bucket_stream(s, 3600, ["event_type"], "1 minute"), "update", ["window", "event_type"]).select(F.unix_timestamp("window.start").alias("bucket"), "event_type", "n", "total"),
      "SELECT (floor(epoch(timestamp))::BIGINT // 3600) * 3600 AS bucket, event_type, count(*) AS n, sum(bytes_sent)::BIGINT AS total FROM canon GROUP BY ALL")
 _add("t07_stream_dedup", lambda df: _streamed(df.unionByName(df.where("event_id % 3 = 0")), lambda s: streams.dedup_stream(s, ["event_id"], "40 days")).select("event_id", "action"), "SELECT event_id, action FROM canon")
+_add("t02_stream_suppress", lambda df: _streamed(df.where("action = 'read'"), lambda s: streams.limit_stream(s, ["source_ip"], 7200, "40 days")).select("source_ip", "event_id"))
+SQL["t02_stream_suppress"] = "WITH " + _greedy_sql(", c0 AS (SELECT source_ip, timestamp, event_id FROM canon WHERE action = 'read')", "source_ip", 7200, "source_ip, event_id")
 _BF = rules.Rule("BF", "high", ((("action", "eq", "logon_failed"),),), "correlation", window=36000, threshold=2, group_by=("source_ip",))
 _add("t03_stream_correlation", lambda df: _streamed(df, lambda s: streams.correlate_stream(s, _BF, "40 days")).select("group_key", "n"))
 SQL["t03_stream_correlation"] = "WITH " + _greedy_sql(_HITS + ", c0 AS (SELECT source_ip AS group_key, timestamp, event_id, n FROM h WHERE n >= 2)", "group_key", 18000, "group_key, n")

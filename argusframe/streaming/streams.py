@@ -51,3 +51,35 @@ def correlate_stream(events: DataFrame, rule: Rule, late: str = "10 minutes") ->
     keyed = matched.select(group_key(fields).alias("group_key"), F.col("timestamp").cast("double").alias("t"), "timestamp")
     alerts = keyed.groupBy("group_key").applyInPandasWithState(step, "group_key string, t double, n long", "times array<double>, fired double", "append", GroupStateTimeout.EventTimeTimeout)
     return alerts.select("group_key", F.timestamp_seconds("t").alias("timestamp"), "n", escalated(rule, F.col("n")).alias("alert_severity"))
+
+
+#: Times in a row's JSON, to the microsecond.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def limit_stream(events: DataFrame, by: list[str], seconds: float, late: str = "10 minutes", at: str = "timestamp") -> DataFrame:
+    """The rows that count, as correlate.greedy has them: of each key the first, then each one at least `seconds` after the last that counted.
+
+    A key keeps the time of its last row that counted, until the watermark is past all that it could hold back. Rows of a
+    batch are taken in order of time; one that comes after its key has counted a later time does not count, and one later
+    than the watermark allows is dropped. Rows pass as JSON, so their types stay.
+    """
+    gap = round(seconds * 1_000_000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = state.get[0] if state.exists else None, []
+        for t, row in sorted(x for b in batches for x in zip(b["t"].tolist(), b["row"], strict=True)):
+            if last is None or t - last >= gap:
+                last = t
+                out.append((row,))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["row"])
+
+    rows = events.withWatermark(at, late).where(F.col(at).isNotNull())
+    keyed = rows.select(F.to_json(F.struct(*by), _TIMES).alias("key"), F.unix_micros(at).alias("t"), F.to_json(F.struct(*events.columns), _TIMES).alias("row"), at)
+    kept = keyed.groupBy("key").applyInPandasWithState(step, "row string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(F.from_json("row", events.schema, _TIMES).alias("row")).select("row.*")

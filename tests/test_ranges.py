@@ -153,3 +153,21 @@ def test_risk_history_feeds_back(spark, hot, look_back):
     found = {r.event_id: r.risk_score for r in got.collect()}
     assert [found[i] for i in range(400)] == pytest.approx(plain_risk(bases), abs=1e-12)
     assert {found[1000 + i] for i in range(20)} == {65.0}
+
+
+def test_limits_in_a_stream(spark, tmp_path):
+    """Over many batches in order of time as in one pass, types kept; a null key is a key, and a late row does not count."""
+    from argusframe.sources import sinks
+    from argusframe.streaming import streams
+
+    pick = random.Random(8)
+    rows = sorted(((i, AT + dt.timedelta(seconds=pick.randint(0, 4000), microseconds=i), pick.choice(["a", "a", None]), 9007199254740993 + i if i % 3 else None) for i in range(120)), key=lambda r: r[1])
+    for k in range(4):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], "event_id long, timestamp timestamp, key string, big long").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    spark.createDataFrame([(999, AT + dt.timedelta(seconds=1), "a", 1)], "event_id long, timestamp timestamp, key string, big long").coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    stream = spark.readStream.schema("event_id long, timestamp timestamp, key string, big long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = streams.limit_stream(stream, ["key"], 300, "10 days").writeStream.foreachBatch(sinks.each_batch(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out").collect()
+    assert sorted(r.event_id for r in found) == plain_greedy([r[:3] for r in rows], 300)
+    assert {(r.event_id, r.timestamp, r.key, r.big) for r in found} <= set(rows)
