@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import saved
-from .ranges import HOT_ROWS, hot_and_cold, keyed, ranged, run, segments
+from .ranges import HOT_ROWS, dealt, hot_and_cold, keyed, ranged, run, segments
 from .rules import Rule
 from .windows import rolling_count
 
@@ -110,12 +110,12 @@ def greedy(df: DataFrame, by: list[str], gap: float | str, order: tuple[str, ...
     rows = keyed(df, by).where(F.col(at).isNotNull()).withColumns({"_at": F.unix_micros(F.col(at).cast("timestamp")), "_gap": F.round(seconds * 1_000_000).cast("bigint")})
     hot, cold = hot_and_cold(rows, hot_rows)
     kinds = T.StructType([*df.schema.fields, T.StructField("_counts", T.BooleanType())])
-    out = cold.repartition("_key").sortWithinPartitions("_key", *order).mapInArrow(run(_counting, ["_key"], kinds), kinds)
+    out = dealt(cold, "_key").sortWithinPartitions("_key", *order).mapInArrow(run(_counting, ["_key"], kinds), kinds)
     if hot is not None:
         table, _ = ranged(hot, list(order), hot_rows)
-        ends = table.repartition("_part").sortWithinPartitions("_part", "_key", *order).select("_part", "_key", "_at", "_gap").mapInArrow(_ends, "_part int, _key string, from array<long>, to array<long>, _gap long")
+        ends = dealt(table, "_part").sortWithinPartitions("_part", "_key", *order).select("_part", "_key", "_at", "_gap").mapInArrow(_ends, "_part int, _key string, from array<long>, to array<long>, _gap long")
         starts = saved(ends.groupBy("_key").applyInPandas(_starts, "_part int, _key string, _start long"), "starts")  # a row for each range and key in it
-        sorted_again = table.join(F.broadcast(starts), ["_part", "_key"]).repartition("_part").sortWithinPartitions("_part", "_key", *order)
+        sorted_again = dealt(table.join(F.broadcast(starts), ["_part", "_key"]), "_part").sortWithinPartitions("_part", "_key", *order)
         out = out.unionByName(sorted_again.mapInArrow(run(_started, ["_part", "_key"], kinds), kinds))
     return out.where("_counts").drop("_counts")
 

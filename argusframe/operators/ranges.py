@@ -32,6 +32,11 @@ def keyed(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("_key", F.to_json(F.struct(*by)) if by else F.lit(""))
 
 
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """df dealt by a column to as many tasks as a shuffle has: Spark would put little data in one task, but folds take time and not space."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def segments(batch: pa.RecordBatch, names: list[str]) -> list[tuple[int, int]]:
     """Where runs of equal values of these columns begin and end."""
     change = np.zeros(batch.num_rows, bool)
@@ -101,7 +106,7 @@ def _with_halo(table: DataFrame, counts: list, order: list[str], halo: int) -> D
     tail = table.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("_key"), *map(F.desc, order)))).where(F.col("_rank") <= halo)
     extra = tail.join(F.broadcast(links), "_part").where("_rank <= _rows").withColumn("_part", F.col("_to")).drop("_rank", "_to", "_rows").withColumn("_halo", F.lit(True))
     both = table.withColumn("_halo", F.lit(False)).unionByName(extra)
-    return both.repartition("_part").sortWithinPartitions("_part", "_key", *order)
+    return dealt(both, "_part").sortWithinPartitions("_part", "_key", *order)
 
 
 def hot_and_cold(df: DataFrame, hot_rows: int) -> tuple[DataFrame | None, DataFrame]:
@@ -125,7 +130,7 @@ def folded(
     kinds = T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items())])
 
     def whole(part: DataFrame) -> DataFrame:
-        return part.withColumn("_halo", F.lit(False)).repartition("_key").sortWithinPartitions("_key", *order).mapInArrow(run(make, ["_key"], kinds), kinds)
+        return dealt(part.withColumn("_halo", F.lit(False)), "_key").sortWithinPartitions("_key", *order).mapInArrow(run(make, ["_key"], kinds), kinds)
 
     hot, cold = hot_and_cold(rows, hot_rows)
     out = whole(cold)
