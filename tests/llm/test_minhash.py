@@ -1,5 +1,4 @@
 import random
-from itertools import combinations
 
 import numpy as np
 import pytest
@@ -19,11 +18,15 @@ def plain(rows):
             x = root[x]
         return x
 
-    for a, b in combinations(sorted(sets), 2):
-        least, most = sorted((len(sets[a]), len(sets[b])))
-        if least >= 0.8 * most and len(both := sets[a] & sets[b]) / (least + most - len(both)) >= 0.8:
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
+    ids = sorted(sets)
+    token = {t: k for k, t in enumerate({t for x in sets.values() for t in x})}
+    has = np.zeros((len(ids), len(token)), np.float32)
+    for row, i in enumerate(ids):
+        has[row, [token[t] for t in sets[i]]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    for a, b in zip(*np.nonzero(np.triu(both.astype(float) / (size[:, None] + size[None, :] - both) >= 0.8, 1)), strict=True):
+        x, y = sorted((find(ids[a]), find(ids[b])))
+        root[y] = x
     return sorted({find(i) for i in root})
 
 
