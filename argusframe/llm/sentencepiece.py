@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, text_of
+from .common import saved, small_batches, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters from which a text is split, of a chunk, and chunks of a block.
@@ -38,7 +39,7 @@ GIANT, CHUNK, BLOCK = 1 << 16, 1 << 15, 64
 #: Distinct strings between cuts whose encoding a task remembers.
 REMEMBERED = 200_000
 #: Bytes of text, about, that a task encodes at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Score units of a factor of two in a piece's rank.
 UNITS = 256
 LOW = -math.inf
@@ -70,10 +71,6 @@ class Vocabulary:
         self.bytes_of |= {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.unknown = min(self.scores.values()) - 10 * UNITS
         self.longest = max(map(len, self.ids))
-        #: Scores of pieces and, as LOW, of beginnings of pieces that are none: where there is no entry, no piece goes on.
-        self.reach = {p[:i]: LOW for p in self.ids for i in range(1, len(p))} | self.scores
-        #: The same from the other end.
-        self.ends = {p[i:]: LOW for p in self.ids for i in range(1, len(p))} | self.scores
         self.packs: dict[str, bytes] = {}
         long = [p for p in self.ids if len(p) > 1]
         self.joined = frozenset(c for p in long for c in p if c != " ")
@@ -82,6 +79,16 @@ class Vocabulary:
         self.between = re.compile(f" *{letters}+| +|(?s:.)" if self.space_cuts else f"(?: |{letters})+|(?s:.)")
         self.by_id = [self.bytes_of.get(i, b"") for i in range(n)]
 
+    @cached_property
+    def reach(self) -> dict[str, float]:
+        """Scores of pieces and, as LOW, of beginnings of pieces that are none: where there is no entry, no piece goes on."""
+        return {p[:i]: LOW for p in self.ids for i in range(1, len(p))} | self.scores
+
+    @cached_property
+    def ends(self) -> dict[str, float]:
+        """The same from the other end."""
+        return {p[i:]: LOW for p in self.ids for i in range(1, len(p))} | self.scores
+
     def cut(self, before: str, after: str) -> bool:
         inside = lambda c: c == " " or c in self.joined
         return not (inside(before) and inside(after)) or (self.space_cuts and after == " " and before != " ")
@@ -335,6 +342,7 @@ def encoded(docs: DataFrame, text_column: str = "text", keep: list[str] | None =
     Null and empty texts have no ids. Texts of over `giant` characters are split and scanned in parallel. chunk must be
     over the longest piece.
     """
+    small_batches(docs.sparkSession)
     row, body = F.struct(*(keep or docs.columns)).alias("row"), text_of(text_column)
     rows = docs.select(row, body.alias("body"))
     schema = T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])

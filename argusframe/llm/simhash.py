@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_ROWS, met, placed, saved, text_of, without
+from .common import HOT_ROWS, met, placed, saved, small_batches, text_of, without
 from .components import components
 from .minhash import CELL_ROWS, HOT_BAND, SIMILARITY, WORDS, bands, near_roots, shingles
 
@@ -169,6 +169,7 @@ def similar_dedup(
     a text of fewer words is one shingle. Null texts count as empty, and empty texts are copies of each other. An empty
     table gives no rows; columns of docs may have any names.
     """
+    small_batches(docs.sparkSession)
     body: Column = text_of(F.col("row").getField(text_column))
     packed = placed(docs.select(F.struct(*docs.columns).alias("row")).withColumn("sketch", _sketches(words)(body)), "simhash_packed")
     near = close(packed.select("uid", "sketch.fp"), hot_rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argusframe.llm.common import saved
+from argusframe.llm.common import saved, small_batches
 from argusframe.llm.exact_dedup import exact_dedup
 from argusframe.llm.langid import UNKNOWN, has_letter, identify
 from argusframe.llm.mixing import mix
@@ -19,8 +19,10 @@ LEAST_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects null texts, texts without a letter, and texts that the network places below LEAST_SCORE. lang stays as it came.
 
-    Where no document has a label, there is no network, and only null and letterless texts go.
+    Where no document has a label, there is no network, and only null and letterless texts go. Workers that are done with
+    a stage are taken over by the next with the memory they have, so batches are small from here on.
     """
+    small_batches(spark)
     known = (F.col("lang_pred") == UNKNOWN) | (F.col("score") >= LEAST_SCORE)
     return identify(docs).where(has_letter(F.col("row.text")) & known).select("row.*")
 
